@@ -1,0 +1,20 @@
+"""Column layout of the tables the operators exchange."""
+
+FILES = "path string, content string, content_md5 string"
+BAD_FILES = "path string, length bigint"
+DECLARATIONS = (
+    "path string, decl_id int, parent_id int, parent_kind string, parent_name string, "
+    "kind string, name string, depth int, start int, end int, header string"
+)
+SNIPPETS = (
+    "snippet_id string, path string, kind string, name string, start int, end int, "
+    "depth int, content string"
+)
+NODES = "node_id string, type string, content string"
+EDGES = "src string, dst string"
+RELATIONS = "source string, target string, relation string"
+SENTENCES = "doc_id bigint, sent_id int, n_sent int, sentence string"
+WEIGHTS = "doc_id bigint, sent_id int, term string, w double"
+HITS = "query_id bigint, rank int, id bigint, score double"
+PROMPTS = "query_id bigint, prompt string"
+RESPONSES = "query_id bigint, response string, error string"
