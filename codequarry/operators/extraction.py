@@ -126,24 +126,19 @@ def extract_fields(decls: DataFrame) -> DataFrame:
     return _members(decls, "field", "field_type")
 
 
-def members_by_type(methods: DataFrame, fields: DataFrame) -> DataFrame:
-    """Members listed per type. A list holds one type of one file."""
-    both = fields.select(
-        "path", "type_id", "type_name", "ordinal",
-        F.concat_ws(" ", "field_type", "name").alias("field"), F.lit(None).cast("string").alias("method"),
-    ).unionByName(
-        methods.select(
-            "path", "type_id", "type_name", "ordinal",
-            F.lit(None).cast("string").alias("field"), F.col("name").alias("method"),
-        )
-    )
+def members_by_type(decls: DataFrame) -> DataFrame:
+    """Members listed per type in source order. A list holds one type of one file."""
 
-    def listed(column: str):
-        kept = F.when(F.col(column).isNotNull(), F.struct("ordinal", column))
-        return F.transform(F.array_sort(F.collect_list(kept)), lambda x: x[column])
+    def listed(kind: str, shown):
+        rows = F.collect_list(F.when(F.col("kind") == kind, F.struct("start", shown.alias("shown"))))
+        return F.transform(F.array_sort(rows), lambda x: x["shown"])
 
-    return both.groupBy("path", "type_id", "type_name").agg(
-        listed("field").alias("fields"), listed("method").alias("methods")
+    members = decls.filter(F.col("kind").isin("field", "method") & F.col("parent_kind").isin(TYPE_KINDS))
+    return members.groupBy(
+        "path", F.col("parent_id").alias("type_id"), F.col("parent_name").alias("type_name")
+    ).agg(
+        listed("field", F.concat_ws(" ", "field_type", "name")).alias("fields"),
+        listed("method", F.col("name")).alias("methods"),
     )
 
 
@@ -153,27 +148,23 @@ def extract_calls(decls: DataFrame) -> DataFrame:
     Method braces count nesting up and down; a call asks for the latest method opened at
     its own nesting, which is the nearest one around it.
     """
-    none = F.lit(None).cast("string")
-    sites = decls.filter(F.col("calls").isNotNull()).select(
-        "path", F.col("decl_id").alias("pos"), F.lit(0).alias("step"),
-        none.alias("type"), none.alias("method"), "calls",
-    )
-    methods = decls.filter(
-        (F.col("kind") == "method")
-        & F.col("parent_kind").isin(TYPE_KINDS)
-        & F.col("body_start").isNotNull()
+    is_method = (
+        (F.col("kind") == "method") & F.col("parent_kind").isin(TYPE_KINDS) & F.col("body_start").isNotNull()
     )
-    marks = methods.select(
+    mark = lambda pos, step: F.struct(pos.alias("pos"), F.lit(step).alias("step"))
+    never = F.filter(F.array(mark(F.lit(0), 0)), lambda m: F.lit(False))
+    end = F.coalesce("close_pos", F.lit(2**31 - 1))
+    marks = decls.filter(is_method | F.col("calls").isNotNull()).select(
         "path",
+        F.when(is_method, F.col("parent_name")).alias("type"),
+        F.when(is_method, F.col("name")).alias("method"),
+        "calls",
         F.inline(
-            F.array(
-                F.struct(F.col("decl_id").alias("pos"), F.lit(1).alias("step")),
-                F.struct(F.coalesce("close_pos", F.lit(2**31 - 1)).alias("pos"), F.lit(-1).alias("step")),
+            F.concat(
+                F.when(F.col("calls").isNotNull(), F.array(mark(F.col("decl_id"), 0))).otherwise(never),
+                F.when(is_method, F.array(mark(F.col("decl_id"), 1), mark(end, -1))).otherwise(never),
             )
         ),
-        F.col("parent_name").alias("type"),
-        F.col("name").alias("method"),
-        F.lit(None).cast("array<struct<receiver:string,callee:string>>").alias("calls"),
     )
     # At one position the text comes before the brace, so calls go first.
     order = [F.col("pos"), F.col("step") != 0]
@@ -183,8 +174,7 @@ def extract_calls(decls: DataFrame) -> DataFrame:
         F.when(F.col("step") == 1, F.struct("type", "method")), ignorenulls=True
     ).over(same)
     return (
-        sites.unionByName(marks)
-        .withColumn("nesting", F.sum("step").over(run))
+        marks.withColumn("nesting", F.sum("step").over(run))
         .withColumn("around", around)
         .filter((F.col("step") == 0) & (F.col("nesting") > 0))
         .select(

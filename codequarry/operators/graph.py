@@ -13,9 +13,13 @@ def node_key(path: str | Column, name: str | Column) -> Column:
     return F.concat_ws("::", path, name)
 
 
-def nodes_last_wins(declared: DataFrame) -> DataFrame:
-    """One node per key: the declaration latest in the file replaces the earlier ones."""
-    return latest(declared, ["node_id"], F.col("start"), ["type", "content", "path", "start"])
+def nodes_last_wins(snips: DataFrame) -> DataFrame:
+    """One node per key: the declaration latest in the file replaces the earlier ones.
+
+    Grouping by path and name keeps to the placement by path.
+    """
+    kept = latest(snips, ["path", "name"], F.col("start"), [F.col("kind").alias("type"), "content", "start"])
+    return kept.select(node_key("path", "name").alias("node_id"), "type", "content", "path", "start")
 
 
 def nodes(files: DataFrame, snips: DataFrame) -> DataFrame:
@@ -24,18 +28,15 @@ def nodes(files: DataFrame, snips: DataFrame) -> DataFrame:
         F.col("path").alias("node_id"), F.lit("file").alias("type"), "content",
         "path", F.lit(-1).alias("start"),
     )
-    declared = snips.select(
-        node_key("path", "name").alias("node_id"), F.col("kind").alias("type"), "content", "path", "start"
-    )
-    return file_nodes.unionByName(nodes_last_wins(declared))
+    return file_nodes.unionByName(nodes_last_wins(snips))
 
 
 def edges(snips: DataFrame) -> DataFrame:
     """Containment edges, each once, smaller key first."""
     key = node_key("path", "name")
-    return snips.select(
+    return snips.select("path", "name").dropDuplicates().select(
         F.least("path", key).alias("src"), F.greatest("path", key).alias("dst")
-    ).dropDuplicates()
+    )
 
 
 def graph_counts(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:

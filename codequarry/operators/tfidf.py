@@ -9,20 +9,32 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codequarry.functions.constants import english_stop_words
-from codequarry.functions.text import sentence_array, word_array
+from codequarry.functions.text import count_words, sentence_array, word_array
 from codequarry.plans.placement import place
 from codequarry.plans.skew import HOT_ROWS, salted_join
 
 
+def sentences_by_document(docs: DataFrame) -> DataFrame:
+    """``doc_id, all``: the sentences of each text as one list, placed by document."""
+    placed = place(docs.select("doc_id", "text"), "doc_id")
+    return placed.select("doc_id", sentence_array(F.col("text")).alias("all"))
+
+
+def _exploded(listed: DataFrame) -> DataFrame:
+    # The outer form, because the plain one makes Spark split every text a second time to
+    # filter out the empty ones first.
+    return listed.select(
+        "doc_id", F.size("all").alias("n_sent"), F.posexplode_outer("all").alias("sent_id", "sentence")
+    ).filter(F.col("sentence").isNotNull())
+
+
 def split_sentences(docs: DataFrame) -> DataFrame:
     """``doc_id, n_sent, sent_id, sentence``; no shuffle."""
-    return docs.select("doc_id", sentence_array(F.col("text")).alias("all")).select(
-        "doc_id", F.size("all").alias("n_sent"), F.posexplode("all").alias("sent_id", "sentence")
-    )
+    return _exploded(docs.select("doc_id", sentence_array(F.col("text")).alias("all")))
 
 
 def tokenize(sentences: DataFrame, stop_words: Sequence[str] | None = None) -> DataFrame:
-    """``doc_id, sent_id, term`` with repeats; no shuffle."""
+    """``doc_id, n_sent, sent_id, term`` with repeats; no shuffle."""
     stop = english_stop_words() if stop_words is None else stop_words
     return sentences.select(
         "doc_id", "n_sent", "sent_id", F.explode(word_array(F.col("sentence"), stop)).alias("term")
@@ -33,21 +45,40 @@ def _smooth_idf(total, containing):
     return F.log((1 + total) / (1 + containing)) + 1
 
 
-def tfidf(docs: DataFrame, stop_words: Sequence[str] | None = None) -> DataFrame:
-    """``doc_id, sent_id, term, w``: every document its own collection of sentences.
+def sentence_weights(docs: DataFrame, stop_words: Sequence[str] | None = None) -> DataFrame:
+    """``doc_id, sent_id, n_words, term, w`` for every sentence of every document.
 
     The text is placed by ``doc_id`` once, before it is split; counting, document
-    frequency and norm all run on that placement.
+    frequency and norm all run on that placement. A sentence without a usable word keeps
+    one row with null ``term`` and ``w``.
     """
-    words = tokenize(split_sentences(place(docs.select("doc_id", "text"), "doc_id")), stop_words)
-    counted = words.groupBy("doc_id", "sent_id", "n_sent", "term").agg(F.count("*").alias("tf"))
+    stop = english_stop_words() if stop_words is None else stop_words
+    counted = (
+        _exploded(sentences_by_document(docs))
+        .select(
+            "doc_id", "n_sent", "sent_id", count_words(F.col("sentence")).alias("n_words"),
+            F.explode_outer(word_array(F.col("sentence"), stop)).alias("term"),
+        )
+        .groupBy("doc_id", "sent_id", "n_sent", "n_words", "term")
+        .agg(F.count("*").alias("tf"))
+    )
     per_term = W.partitionBy("doc_id", "term")
     per_sentence = W.partitionBy("doc_id", "sent_id")
+    raw = F.when(
+        F.col("term").isNotNull(), F.col("tf") * _smooth_idf(F.col("n_sent"), F.count("*").over(per_term))
+    )
     return (
-        counted.withColumn("df", F.count("*").over(per_term))
-        .withColumn("raw", F.col("tf") * _smooth_idf(F.col("n_sent"), F.col("df")))
+        counted.withColumn("raw", raw)
         .withColumn("norm", F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(per_sentence)))
-        .select("doc_id", "sent_id", "term", (F.col("raw") / F.col("norm")).alias("w"))
+        .select("doc_id", "sent_id", "n_words", "term", (F.col("raw") / F.col("norm")).alias("w"))
+    )
+
+
+def tfidf(docs: DataFrame, stop_words: Sequence[str] | None = None) -> DataFrame:
+    """``doc_id, sent_id, term, w``: every document its own collection of sentences."""
+    return (
+        sentence_weights(docs, stop_words).filter(F.col("term").isNotNull())
+        .select("doc_id", "sent_id", "term", "w")
     )
 
 

@@ -13,7 +13,6 @@ from codequarry.functions import vectors as vector_fn
 from codequarry.operators import (
     blocks, embedding, extraction, generation, graph, relations, rendering, search, tfidf, topics,
 )
-from codequarry.plans.placement import place
 from codequarry.sources import corpus, documents, files as file_source, sinks, storage
 from codequarry.streaming.search import stream_search
 
@@ -215,12 +214,12 @@ def _known(spark, folder, decls):
 
 def associates_edges(spark, folder):
     decls = _stored_decls(spark, folder)
-    return relations.associates_edges(extraction.extract_fields(decls), _known(spark, folder, decls))
+    return relations.associates_edges(extraction.extract_fields(decls), _known(spark, folder, decls)).drop("path")
 
 
 def uses_edges(spark, folder):
     decls = _stored_decls(spark, folder)
-    return relations.uses_edges(extraction.extract_calls(decls), _known(spark, folder, decls))
+    return relations.uses_edges(extraction.extract_calls(decls), _known(spark, folder, decls)).drop("path")
 
 
 def fetch_hits(spark, folder):
@@ -246,9 +245,8 @@ def query_x_vectors(spark, folder):
 
 
 def topic_x_sentence(spark, folder):
-    weights, _, medoids = _clustered(spark, folder, 3)
     return (
-        topics.topic_scores(medoids, weights).groupBy("doc_id", "cluster")
+        topics.topic_scores(_clustered(spark, folder, 3)).groupBy("doc_id", "cluster")
         .agg(F.count("*").alias("related"), F.round(F.max("score"), 5).alias("best"))
     )
 
@@ -269,18 +267,14 @@ def calls_by_method(spark, folder):
 
 
 def members_by_type(spark, folder):
-    decls = _stored_decls(spark, folder)
-    listed = extraction.members_by_type(extraction.extract_methods(decls), extraction.extract_fields(decls))
+    listed = extraction.members_by_type(_decls(spark, folder))
     return listed.select(
         "path", "type_name", F.array_join("fields", ",").alias("fields"), F.array_join("methods", ",").alias("methods")
     )
 
 
 def nodes_last_wins(spark, folder):
-    declared = _snippets(spark, folder).select(
-        graph.node_key("path", "name").alias("node_id"), F.col("kind").alias("type"), "content", "path", "start"
-    )
-    return graph.nodes_last_wins(declared).select("node_id", "type", "content")
+    return graph.nodes_last_wins(_snippets(spark, folder)).select("node_id", "type", "content")
 
 
 def edges_dedup(spark, folder):
@@ -296,17 +290,11 @@ def tfidf_weights(spark, folder):
 
 
 def _clustered(spark, folder, k):
-    weights = tfidf.tfidf(_documents(spark, folder))
-    clustered = topics.cluster_documents(weights, k)
-    return weights, clustered, topics.cluster_medoid(clustered)
-
-
-def _sentences(spark, folder):
-    return tfidf.split_sentences(place(_documents(spark, folder), "doc_id"))
+    return topics.cluster_documents(tfidf.tfidf(_documents(spark, folder)), k)
 
 
 def kmeans_topics(spark, folder):
-    return topics.kmeans_topics(_clustered(spark, folder, 3)[1])
+    return topics.kmeans_topics(_clustered(spark, folder, 3))
 
 
 # ---- top-k -----------------------------------------------------------------------------
@@ -320,12 +308,11 @@ def top1_cosine(spark, folder):
 
 
 def cluster_medoid(spark, folder):
-    return _clustered(spark, folder, 3)[2]
+    return topics.cluster_medoid(_clustered(spark, folder, 3))
 
 
 def key_sentences(spark, folder):
-    weights, _, medoids = _clustered(spark, folder, 3)
-    return _rounded(topics.key_sentences(medoids, weights), "score")
+    return _rounded(topics.key_sentences(_clustered(spark, folder, 3)).drop("medoid"), "score")
 
 
 def no_hit_rows(spark, folder):
@@ -360,15 +347,15 @@ def all_relations(spark, folder):
     return relations.all_relations(
         extraction.extract_types(decls), extraction.extract_fields(decls),
         extraction.extract_calls(decls), extraction.extract_imports(_code(spark, folder)),
-    )
+    ).drop("path")
 
 
 def extends_edges(spark, folder):
-    return relations.extends_edges(_types(spark, folder))
+    return relations.extends_edges(_types(spark, folder)).drop("path")
 
 
 def implements_edges(spark, folder):
-    return relations.implements_edges(_types(spark, folder))
+    return relations.implements_edges(_types(spark, folder)).drop("path")
 
 
 def type_catalogue(spark, folder):
@@ -448,11 +435,12 @@ def _prompts(spark, folder, style):
 
 
 def extractive_summary(spark, folder):
-    return topics.extractive_summary(_sentences(spark, folder), tfidf.tfidf(_documents(spark, folder)))
+    return topics.extractive_summary(_documents(spark, folder))
 
 
 def _points(spark, folder, k):
-    return topics.key_points(_clustered(spark, folder, k)[2], _sentences(spark, folder))
+    medoids = topics.cluster_medoid(_clustered(spark, folder, k))
+    return topics.key_points(medoids, _documents(spark, folder))
 
 
 def extract_key_points(spark, folder):
@@ -460,8 +448,7 @@ def extract_key_points(spark, folder):
 
 
 def _topics(spark, folder):
-    weights, _, medoids = _clustered(spark, folder, 3)
-    return topics.topics_and_key_sentences(medoids, weights, _sentences(spark, folder))
+    return topics.topics_and_key_sentences(_clustered(spark, folder, 3), _documents(spark, folder))
 
 
 def topics_and_key_sentences(spark, folder):

@@ -49,7 +49,9 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= hot_rows).select(key)
 
 
-def latest(df: DataFrame, keys: Sequence[str], order: Column, columns: Sequence[str]) -> DataFrame:
+def latest(
+    df: DataFrame, keys: Sequence[str], order: Column, columns: Sequence[str | Column]
+) -> DataFrame:
     """Per key the row with the greatest ``order``, combined on the map side first."""
     return (
         df.groupBy(*keys)
