@@ -25,6 +25,7 @@ _NOT_NAME = "|".join(MODIFIERS + CONTROL_WORDS)
 
 PACKAGE = r"(?:^|[;\s])package\s+([\w.]+)\s*;"
 IMPORT = r"(?:^|[;\s])import\s+([\w.]+)\s*;"
+UNIT = r"^(package|import) ([\w.]+)$"
 CALL = r"(\w+)\.(\w+)\("
 ANNOTATION = r"@(?!interface\b)[\w.]+(?:\s*\((?:[^()]|\([^()]*\))*\))?"
 TYPE_HEADER = r"(?:^|[^@.\w])(class|interface|enum|record)\s+(\w+)"

@@ -58,7 +58,8 @@ def _scope_kind(plain: Column) -> Column:
 
 
 def declarations(files: DataFrame) -> DataFrame:
-    """Types, methods, constructors, anonymous bodies, other blocks, fields and call sites.
+    """Types, methods, constructors, anonymous bodies, other blocks, fields, package and
+    import statements, and call sites.
 
     ``start`` and ``end`` are 0-based character offsets, ``end`` exclusive; ``decl_id`` is
     the position of the closing mark of the row's text within the file; rows in ``start``
@@ -79,16 +80,18 @@ def declarations(files: DataFrame) -> DataFrame:
         .withColumn("opens", F.when(is_block, _scope_kind(plain)))
         .withColumn("method_like", ~plain.contains("=") & plain.contains("(") & plain.rlike(java.METHOD_HEADER))
         .withColumn("field_like", ~F.col("left_side").contains("(") & F.col("left_side").rlike(java.FIELD))
+        .withColumn("unit", F.when((F.col("mark") == ";") & (F.col("level") == 0), F.regexp_extract("plain", java.UNIT, 1)))
+        .filter(
+            F.col("is_brace") | (F.size("calls") > 0) | (F.col("unit") != "")
+            | F.col("method_like") | F.col("field_like")
+        )
     )
     # The next brace at the same level closes an open one.
     level_run = W.partitionBy("path", "level", "is_brace").orderBy("pos")
     closing = F.when(is_block, F.lead(F.struct("mark_end", "pos")).over(level_run))
     matched = (
         read.withColumn("closing", closing)
-        .filter(
-            is_block | (F.size("calls") > 0)
-            | ((F.col("mark") == ";") & (F.col("method_like") | F.col("field_like")))
-        )
+        .filter((F.col("mark") != "}") | (F.size("calls") > 0))
         .withColumn(
             "end",
             F.when(is_block, F.coalesce("closing.mark_end", "file_end")).otherwise(F.col("mark_end")),
@@ -121,6 +124,7 @@ def declarations(files: DataFrame) -> DataFrame:
     kind = F.when(
         F.col("mark") != "}",
         F.when(F.col("opens").isin(TYPE_KINDS), F.col("opens"))
+        .when(F.col("unit") != "", F.col("unit"))
         .when((in_scope | F.col("parent").isNull()) & F.col("method_like"), F.lit("method"))
         .when(in_scope & F.col("field_like"), F.lit("field"))
         .when(is_block & in_scope & F.col("plain").rlike(java.CONSTRUCTOR_HEADER), F.lit("constructor"))
@@ -128,6 +132,7 @@ def declarations(files: DataFrame) -> DataFrame:
     )
     name = (
         F.when(F.col("kind").isin(TYPE_KINDS), F.col("opens_name"))
+        .when(F.col("kind") == F.col("unit"), F.regexp_extract("plain", java.UNIT, 2))
         .when(F.col("kind") == "method", F.regexp_extract("plain", java.METHOD_HEADER, 2))
         .when(F.col("kind") == "constructor", F.regexp_extract("plain", java.CONSTRUCTOR_HEADER, 1))
         .when(F.col("kind") == "field", F.regexp_extract("left_side", java.FIELD, 2))

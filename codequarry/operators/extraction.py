@@ -19,15 +19,27 @@ def strip_comments(files: DataFrame) -> DataFrame:
     return files.select("path", java.strip_comments(F.col("content")).alias("content"))
 
 
+def _base_name():
+    return F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+
+
 def extract_packages(files: DataFrame) -> DataFrame:
     """First package statement per file; the class name is the file's base name."""
-    package = F.regexp_extract(java.blank_hidden(F.col("content")), java.PACKAGE, 1)
-    base = F.element_at(F.split("path", "/"), -1)
-    return files.select(
-        "path",
-        package.alias("package"),
-        F.regexp_replace(base, r"\.[^.]*$", "").alias("class_name"),
-    ).filter(F.col("package") != "")
+    found = F.regexp_extract_all(
+        java.blank_hidden(F.col("content")), F.lit(java.PACKAGE), F.lit(1)
+    )
+    # Exploding the first match drops files without one; a filter would read them twice.
+    return files.select("path", F.explode(F.slice(found, 1, 1)).alias("package")).select(
+        "path", "package", _base_name().alias("class_name")
+    )
+
+
+def declared_packages(decls: DataFrame) -> DataFrame:
+    """The same as :func:`extract_packages`, from declarations already read."""
+    first = decls.filter(F.col("kind") == "package").groupBy("path").agg(
+        F.min(F.struct("start", F.col("name").alias("package"))).getField("package").alias("package")
+    )
+    return first.select("path", "package", _base_name().alias("class_name"))
 
 
 def package_members(packages: DataFrame) -> DataFrame:
@@ -45,10 +57,20 @@ def extract_imports(files: DataFrame, common: Sequence[str] = COMMON_TYPES) -> D
     full = F.regexp_extract_all(
         java.blank_hidden(F.col("content")), F.lit(java.IMPORT), F.lit(1)
     )
-    rows = files.select("path", F.explode(full).alias("full_name")).select(
-        "path", F.element_at(F.split("full_name", "[.]"), -1).alias("simple_name"), "full_name"
+    return _named_imports(files.select("path", F.explode(full).alias("full_name")), common)
+
+
+def _named_imports(rows: DataFrame, common: Sequence[str]) -> DataFrame:
+    simple = F.element_at(F.split("full_name", "[.]"), -1)
+    return filter_common_types(
+        rows.select("path", simple.alias("simple_name"), "full_name"), "simple_name", common
     )
-    return filter_common_types(rows, "simple_name", common)
+
+
+def declared_imports(decls: DataFrame, common: Sequence[str] = COMMON_TYPES) -> DataFrame:
+    """The same as :func:`extract_imports`, from declarations already read."""
+    rows = decls.filter(F.col("kind") == "import").select("path", F.col("name").alias("full_name"))
+    return _named_imports(rows, common)
 
 
 def last_imports(imports: DataFrame) -> DataFrame:

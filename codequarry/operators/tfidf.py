@@ -55,10 +55,9 @@ def sentence_weights(docs: DataFrame, stop_words: Sequence[str] | None = None) -
     stop = english_stop_words() if stop_words is None else stop_words
     counted = (
         _exploded(sentences_by_document(docs))
-        .select(
-            "doc_id", "n_sent", "sent_id", count_words(F.col("sentence")).alias("n_words"),
-            F.explode_outer(word_array(F.col("sentence"), stop)).alias("term"),
-        )
+        .withColumn("n_words", count_words(F.col("sentence")))
+        .withColumn("words", word_array(F.col("sentence"), stop))
+        .select("doc_id", "n_sent", "sent_id", "n_words", F.explode_outer("words").alias("term"))
         .groupBy("doc_id", "sent_id", "n_sent", "n_words", "term")
         .agg(F.count("*").alias("tf"))
     )

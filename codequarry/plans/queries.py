@@ -206,20 +206,18 @@ def flatten_snippets(spark, folder):
 
 # ---- joins -----------------------------------------------------------------------------
 
-def _known(spark, folder, decls):
-    return relations.known_names(
-        extraction.extract_types(decls), extraction.extract_imports(_code(spark, folder))
-    )
+def _known(decls):
+    return relations.known_names(extraction.extract_types(decls), extraction.declared_imports(decls))
 
 
 def associates_edges(spark, folder):
     decls = _stored_decls(spark, folder)
-    return relations.associates_edges(extraction.extract_fields(decls), _known(spark, folder, decls)).drop("path")
+    return relations.associates_edges(extraction.extract_fields(decls), _known(decls)).drop("path")
 
 
 def uses_edges(spark, folder):
     decls = _stored_decls(spark, folder)
-    return relations.uses_edges(extraction.extract_calls(decls), _known(spark, folder, decls)).drop("path")
+    return relations.uses_edges(extraction.extract_calls(decls), _known(decls)).drop("path")
 
 
 def fetch_hits(spark, folder):
@@ -346,7 +344,7 @@ def all_relations(spark, folder):
     decls = _stored_decls(spark, folder)
     return relations.all_relations(
         extraction.extract_types(decls), extraction.extract_fields(decls),
-        extraction.extract_calls(decls), extraction.extract_imports(_code(spark, folder)),
+        extraction.extract_calls(decls), extraction.declared_imports(decls),
     ).drop("path")
 
 
@@ -410,14 +408,14 @@ def truncate_tokens(spark, folder):
 # ---- text products ---------------------------------------------------------------------
 
 def class_diagram(spark, folder):
-    code, decls = _code(spark, folder), _stored_decls(spark, folder)
+    decls = _stored_decls(spark, folder)
     types = extraction.extract_types(decls)
     fields, methods = extraction.extract_fields(decls), extraction.extract_methods(decls)
     edges = relations.all_relations(
-        types, fields, extraction.extract_calls(decls), extraction.extract_imports(code)
+        types, fields, extraction.extract_calls(decls), extraction.declared_imports(decls)
     )
     return rendering.class_diagram(
-        relations.type_catalogue(types), fields, methods, edges, extraction.extract_packages(code)
+        relations.type_catalogue(types), fields, methods, edges, extraction.declared_packages(decls)
     )
 
 

@@ -170,6 +170,9 @@ def test_imports(files):
     f = files(A="package p.q;\nimport a.B; import a.c.*; import static d.E.f; import java.util.List;\n// import x.Y;\nclass A { }")
     assert rows(X.extract_imports(f), "simple_name", "full_name") == [("B", "a.B")]
     assert rows(X.extract_packages(f), "package", "class_name") == [("p.q", "A")]
+    d = declarations(f)
+    assert rows(X.declared_imports(d), "simple_name", "full_name") == [("B", "a.B")]
+    assert rows(X.declared_packages(d), "package", "class_name") == [("p.q", "A")]
     two = files(A="import a.B;", Z="import z.B;")
     assert rows(X.last_imports(X.extract_imports(two)), "simple_name", "full_name") == [("B", "z.B")]
 
