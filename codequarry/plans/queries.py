@@ -295,6 +295,10 @@ def kmeans_topics(spark, folder):
     return topics.kmeans_topics(_clustered(spark, folder, 3))
 
 
+def kmeans_corpus(spark, folder):
+    return topics.corpus_topics(_documents(spark, folder))
+
+
 # ---- top-k -----------------------------------------------------------------------------
 
 def topk_l2(spark, folder):
@@ -546,6 +550,7 @@ QUERIES: dict[str, Query] = {
     "mean_pool": mean_pool,
     "tfidf": tfidf_weights,
     "kmeans_topics": kmeans_topics,
+    "kmeans_corpus": kmeans_corpus,
     "topk_l2": topk_l2,
     "top1_cosine": top1_cosine,
     "cluster_medoid": cluster_medoid,

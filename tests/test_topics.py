@@ -98,3 +98,11 @@ def test_diagrams(spark):
         "```mermaid", "sequenceDiagram", "    participant Human", "    participant AI",
         "    Human->>AI: Step 1", "    AI->>Human: c &amp; d", "    Human->>AI: Step 3", "```",
     ]
+
+
+def test_corpus_topics(docs):
+    rows = topics.corpus_topics(docs, 2, STOP, features=1 << 10).collect()
+    assert {r.cluster for r in rows} == {0, 1}
+    assert {r.doc_id for r in rows} == {1, 2, 3, 6}
+    same = {r.cluster for r in rows if r.doc_id == 3 and r.sent_id in (0, 1)}
+    assert len(same) == 1
