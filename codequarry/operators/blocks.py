@@ -19,8 +19,20 @@ SCOPE_KINDS = TYPE_KINDS + ["anonymous"]
 PIECE = r"[^{};]*+[{};]"
 
 
+def _scope_kind(plain: Column) -> Column:
+    """What a block header opens, as far as the header alone tells."""
+    kind = F.regexp_extract(plain, java.TYPE_HEADER, 1)
+    return F.when(kind != "", kind).when(
+        plain.rlike(java.ANONYMOUS_HEADER), F.lit("anonymous")
+    )
+
+
 def pieces(files: DataFrame) -> DataFrame:
-    """One row per brace or semicolon with the text before it, its offset and depth."""
+    """One row per brace or semicolon with what the text before it reads as.
+
+    All patterns are applied here, so that the sorts which follow carry short rows and not
+    the text itself.
+    """
     placed = place(files.select("path", "content"), "path")
     cut = placed.select(
         "path",
@@ -29,34 +41,45 @@ def pieces(files: DataFrame) -> DataFrame:
             F.regexp_extract_all(java.blank_hidden(F.col("content")), F.lit(PIECE), F.lit(0))
         ).alias("pos", "piece"),
     )
-    text = F.ltrim(F.expr("left(piece, length(piece) - 1)"), F.lit(SPACES))
-    marked = cut.select(
-        "path", "file_end", "pos",
-        F.length("piece").alias("size"),
-        F.right("piece", F.lit(1)).alias("mark"),
-        text.alias("header"),
-    ).withColumn("step", F.when(F.col("mark") == "{", 1).when(F.col("mark") == "}", -1).otherwise(0))
-    so_far = W.partitionBy("path").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    mark, plain, left = F.col("mark"), F.col("plain"), F.col("left_side")
+    is_block = mark == "{"
+    calls = F.arrays_zip(
+        F.regexp_extract_all("text", F.lit(java.CALL), F.lit(1)).alias("receiver"),
+        F.regexp_extract_all("text", F.lit(java.CALL), F.lit(2)).alias("callee"),
+    )
+    method = F.when(~plain.contains("=") & plain.contains("("), F.regexp_extract(plain, java.METHOD_HEADER, 2))
+    field = lambda group: F.when(~left.contains("("), F.regexp_extract(left, java.FIELD, group))
+    unit = lambda group: F.when(mark == ";", F.regexp_extract(plain, java.UNIT, group))
     return (
-        marked.withColumn("mark_end", F.sum("size").over(so_far).cast("int"))
-        .withColumn("after", F.sum("step").over(so_far).cast("int"))
+        cut.select(
+            "path", "file_end", "pos",
+            F.length("piece").alias("size"),
+            F.right("piece", F.lit(1)).alias("mark"),
+            F.ltrim(F.expr("left(piece, length(piece) - 1)"), F.lit(SPACES)).alias("text"),
+        )
+        .withColumn("plain", java.plain_header(F.col("text")))
+        .withColumn("left_side", F.rtrim(F.substring_index("plain", "=", 1)))
+        .withColumn("opens", F.when(is_block, _scope_kind(plain)))
+        .withColumn("calls", F.when(F.col("text").contains("."), calls))
         .select(
-            "path", "file_end", "pos", "mark", "mark_end",
-            F.least(F.col("after"), F.col("after") - F.col("step")).alias("level"),
-            (F.col("mark_end") - F.length("header") - 1).alias("start"),
-            "header",
+            "path", "file_end", "pos", "size", "mark", "opens",
+            F.when(mark == "{", 1).when(mark == "}", -1).otherwise(0).alias("step"),
+            F.length("text").alias("text_length"),
+            F.when(is_block, plain).alias("header"),
+            F.when(
+                F.col("opens") != "anonymous", F.regexp_extract(plain, java.TYPE_HEADER, 2)
+            ).alias("opens_name"),
+            F.nullif(method, F.lit("")).alias("method"),
+            F.nullif(field(1), F.lit("")).alias("field_type"),
+            F.nullif(field(2), F.lit("")).alias("field"),
+            F.when(is_block, F.nullif(F.regexp_extract(plain, java.CONSTRUCTOR_HEADER, 1), F.lit(""))).alias("constructor"),
+            F.nullif(unit(1), F.lit("")).alias("unit"),
+            F.nullif(unit(2), F.lit("")).alias("unit_name"),
+            F.when(F.size("calls") > 0, F.col("calls")).alias("calls"),
         )
     )
 
 
-def _scope_kind(plain: Column) -> Column:
-    """What a block header opens, as far as the header alone tells."""
-    kind = F.regexp_extract(plain, java.TYPE_HEADER, 1)
-    return F.when(kind != "", kind).when(
-        plain.rlike(java.ANONYMOUS_HEADER), F.lit("anonymous")
-    )
-
-
 def declarations(files: DataFrame) -> DataFrame:
     """Types, methods, constructors, anonymous bodies, other blocks, fields, package and
     import statements, and call sites.
@@ -65,41 +88,30 @@ def declarations(files: DataFrame) -> DataFrame:
     the position of the closing mark of the row's text within the file; rows in ``start``
     order are in preorder. Rows with a null ``kind`` are statements kept for their calls.
     """
-    calls = F.arrays_zip(
-        F.regexp_extract_all("header", F.lit(java.CALL), F.lit(1)).alias("receiver"),
-        F.regexp_extract_all("header", F.lit(java.CALL), F.lit(2)).alias("callee"),
-    )
     is_block = F.col("mark") == "{"
-    plain = F.col("plain")
-    read = (
+    so_far = W.partitionBy("path").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    placed = (
         pieces(files)
+        .withColumn("mark_end", F.sum("size").over(so_far).cast("int"))
+        .withColumn("after", F.sum("step").over(so_far).cast("int"))
+        .withColumn("level", F.least(F.col("after"), F.col("after") - F.col("step")))
         .withColumn("is_brace", F.col("mark") != ";")
-        .withColumn("calls", F.when(F.col("header").contains("."), calls))
-        .withColumn("plain", java.plain_header(F.col("header")))
-        .withColumn("left_side", F.rtrim(F.substring_index("plain", "=", 1)))
-        .withColumn("opens", F.when(is_block, _scope_kind(plain)))
-        .withColumn("method_like", ~plain.contains("=") & plain.contains("(") & plain.rlike(java.METHOD_HEADER))
-        .withColumn("field_like", ~F.col("left_side").contains("(") & F.col("left_side").rlike(java.FIELD))
-        .withColumn("unit", F.when((F.col("mark") == ";") & (F.col("level") == 0), F.regexp_extract("plain", java.UNIT, 1)))
         .filter(
-            F.col("is_brace") | (F.size("calls") > 0) | (F.col("unit") != "")
-            | F.col("method_like") | F.col("field_like")
+            F.col("is_brace") | F.col("calls").isNotNull() | F.col("method").isNotNull()
+            | F.col("field").isNotNull() | (F.col("unit").isNotNull() & (F.col("level") == 0))
         )
+        .drop("after", "step", "size")
     )
     # The next brace at the same level closes an open one.
     level_run = W.partitionBy("path", "level", "is_brace").orderBy("pos")
-    closing = F.when(is_block, F.lead(F.struct("mark_end", "pos")).over(level_run))
     matched = (
-        read.withColumn("closing", closing)
-        .filter((F.col("mark") != "}") | (F.size("calls") > 0))
+        placed.withColumn("closing", F.when(is_block, F.lead(F.struct("mark_end", "pos")).over(level_run)))
+        .filter((F.col("mark") != "}") | F.col("calls").isNotNull())
         .withColumn(
             "end",
             F.when(is_block, F.coalesce("closing.mark_end", "file_end")).otherwise(F.col("mark_end")),
         )
-        .withColumn(
-            "opens_name",
-            F.when(F.col("opens") != "anonymous", F.regexp_extract("plain", java.TYPE_HEADER, 2)),
-        )
+        .withColumn("start", F.col("mark_end") - F.col("text_length") - 1)
     )
     # A block provides itself as parent at its own level; every row asks one level up.
     asks = F.struct(F.lit(False).alias("provides"), (F.col("level") - 1).alias("key"))
@@ -121,27 +133,27 @@ def declarations(files: DataFrame) -> DataFrame:
         ignorenulls=True,
     ).over(scope)
     in_scope = F.col("parent.kind").isin(SCOPE_KINDS)
-    kind = F.when(
+    reads_as = lambda kind, name: F.struct(F.lit(kind).alias("kind"), F.col(name).alias("name"))
+    found = F.when(
         F.col("mark") != "}",
-        F.when(F.col("opens").isin(TYPE_KINDS), F.col("opens"))
-        .when(F.col("unit") != "", F.col("unit"))
-        .when((in_scope | F.col("parent").isNull()) & F.col("method_like"), F.lit("method"))
-        .when(in_scope & F.col("field_like"), F.lit("field"))
-        .when(is_block & in_scope & F.col("plain").rlike(java.CONSTRUCTOR_HEADER), F.lit("constructor"))
-        .when(is_block, F.coalesce("opens", F.lit("other"))),
-    )
-    name = (
-        F.when(F.col("kind").isin(TYPE_KINDS), F.col("opens_name"))
-        .when(F.col("kind") == F.col("unit"), F.regexp_extract("plain", java.UNIT, 2))
-        .when(F.col("kind") == "method", F.regexp_extract("plain", java.METHOD_HEADER, 2))
-        .when(F.col("kind") == "constructor", F.regexp_extract("plain", java.CONSTRUCTOR_HEADER, 1))
-        .when(F.col("kind") == "field", F.regexp_extract("left_side", java.FIELD, 2))
+        F.when(F.col("opens").isin(TYPE_KINDS), F.struct(F.col("opens").alias("kind"), F.col("opens_name").alias("name")))
+        .when(
+            F.col("unit").isNotNull() & F.col("parent").isNull(),
+            F.struct(F.col("unit").alias("kind"), F.col("unit_name").alias("name")),
+        )
+        .when((in_scope | F.col("parent").isNull()) & F.col("method").isNotNull(), reads_as("method", "method"))
+        .when(in_scope & F.col("field").isNotNull(), reads_as("field", "field"))
+        .when(in_scope & F.col("constructor").isNotNull(), reads_as("constructor", "constructor"))
+        .when(
+            is_block,
+            F.struct(F.coalesce("opens", F.lit("other")).alias("kind"), F.lit(None).cast("string").alias("name")),
+        ),
     )
     return (
         keyed.withColumn("parent", parent)
         .filter(~F.col("provides"))
-        .withColumn("kind", kind)
-        .filter(F.col("kind").isNotNull() | (F.size("calls") > 0))
+        .withColumn("found", found)
+        .filter(F.col("found").isNotNull() | F.col("calls").isNotNull())
         .select(
             "path",
             F.col("pos").alias("decl_id"),
@@ -149,16 +161,16 @@ def declarations(files: DataFrame) -> DataFrame:
             F.col("parent.kind").alias("parent_kind"),
             F.col("parent.name").alias("parent_name"),
             F.col("parent.start").alias("parent_start"),
-            "kind",
-            name.alias("name"),
+            "found.kind",
+            "found.name",
             F.col("level").alias("depth"),
             "start",
             "end",
-            F.when(F.col("kind").isNotNull(), F.col("plain")).alias("header"),
+            "header",
             F.when(is_block, F.col("mark_end")).alias("body_start"),
             F.col("closing.pos").alias("close_pos"),
-            F.when(F.col("kind") == "field", F.regexp_extract("left_side", java.FIELD, 1)).alias("field_type"),
-            F.when(F.size("calls") > 0, F.col("calls")).alias("calls"),
+            F.when(F.col("found.kind") == "field", F.col("field_type")).alias("field_type"),
+            "calls",
         )
     )
 
