@@ -60,8 +60,10 @@ def test_fewer_vectors_than_k_and_text_ids(spark):
 def test_distance_profile(spark):
     q = vectors(spark, [(1, [0, 0]), (2, [3, 4])], "query_id")
     v = vectors(spark, [(1, [3, 4]), (2, [0, 0]), (3, [0, 5])])
-    rows = {r.query_id: (r.n, r.nearest, round(r["mean"], 6)) for r in search.distance_profile(q, v).collect()}
-    assert rows == {1: (3, 0.0, round(50 / 3, 6)), 2: (3, 0.0, round(35 / 3, 6))}
+    for block in (4096, 1):
+        found = search.distance_profile(q, v, block).collect()
+        rows = {r.query_id: (r.n, r.nearest, round(r["mean"], 6)) for r in found}
+        assert rows == {1: (3, 0.0, round(50 / 3, 6)), 2: (3, 0.0, round(35 / 3, 6))}
 
 
 def test_vector_expressions(spark):
