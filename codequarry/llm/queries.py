@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+from codequarry.llm import langid, quality
 from codequarry.llm import token_counts as tokens
 from codequarry.llm.common import table
+from codequarry.sources.storage import written
+
+
+def op1_quality_classifier(spark, folder):
+    described = written(quality.features(table(spark, folder, "documents")), "features")
+    return quality.score(described, quality.fit(described, table(spark, folder, "labels")))
 
 
 def op3_token_counts(spark, folder):
     return tokens.token_counts(table(spark, folder, "documents"), limit=1024)
 
 
+def op7_language_id(spark, folder):
+    docs = table(spark, folder, "documents")
+    return langid.identify(docs, langid.learn(docs))
+
+
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op3_token_counts": op3_token_counts,
+    "op7_language_id": op7_language_id,
 }
