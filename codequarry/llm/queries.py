@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from codequarry.llm import langid, quality
+from pyspark.sql import functions as F
+
+from codequarry.llm import html, langid, quality, topk
 from codequarry.llm import token_counts as tokens
 from codequarry.llm.common import table
 from codequarry.sources.storage import written
@@ -17,13 +19,26 @@ def op3_token_counts(spark, folder):
     return tokens.token_counts(table(spark, folder, "documents"), limit=1024)
 
 
+def op4_html_extraction(spark, folder):
+    return html.main_texts(table(spark, folder, "pages"))
+
+
 def op7_language_id(spark, folder):
     docs = table(spark, folder, "documents")
     return langid.identify(docs, langid.learn(docs))
 
 
+def op8_exact_topk(spark, folder):
+    vectors = table(spark, folder, "embeddings").select(
+        F.col("vec_id").cast("bigint").alias("vec_id"), topk.quantised("embedding", 1024).alias("vector")
+    ).filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull())
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_token_counts": op3_token_counts,
+    "op4_html_extraction": op4_html_extraction,
     "op7_language_id": op7_language_id,
+    "op8_exact_topk": op8_exact_topk,
 }
