@@ -19,6 +19,58 @@ WITH v AS (
 SELECT query_id, "rank", vec_id, score FROM ranked WHERE "rank" <= 10
 """
 
+LINE_DEDUP = r"""
+WITH split AS (
+  SELECT doc_id, coalesce(source, chr(0)) AS site, string_split(text, chr(10)) AS lines FROM documents
+), line AS (
+  SELECT doc_id, site, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM split
+), spread AS (
+  SELECT trim(line) AS line, min((doc_id, pos)) AS first
+  FROM line WHERE regexp_matches(trim(line), '^\S+\s+\S+\s+\S+')
+  GROUP BY 1 HAVING count(DISTINCT site) >= 3
+), judged AS (
+  SELECT l.doc_id, l.pos, l.line, s.line IS NOT NULL AND (l.doc_id, l.pos) <> s.first AS gone
+  FROM line l LEFT JOIN spread s ON trim(l.line) = s.line
+), cleaned AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text
+  FROM judged GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+       CAST(length(c.text) AS BIGINT) AS n_chars, md5(c.text) AS text_md5
+FROM documents d LEFT JOIN cleaned c USING (doc_id)
+"""
+
+DECONTAMINATION = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark
+), b_start AS (
+  SELECT item_id, words, unnest(range(1, greatest(1, len(words) - 12) + 1)) AS i FROM b WHERE len(words) > 0
+), win AS (
+  SELECT DISTINCT item_id, words[i:i + 12] AS terms FROM b_start
+), lengths AS (
+  SELECT DISTINCT len(terms) AS n FROM win
+), d_start AS (
+  SELECT doc_id, n, words, unnest(range(1, len(words) - n + 2)) AS i FROM d, lengths WHERE len(words) >= n
+), hit AS (
+  SELECT s.doc_id, s.i, s.n, w.item_id FROM d_start s JOIN win w ON s.words[s.i:s.i + s.n - 1] = w.terms
+), covered AS (
+  SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS pos FROM hit) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(DISTINCT CAST(item_id AS VARCHAR)) AS n_items,
+         string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items
+  FROM hit GROUP BY doc_id
+)
+SELECT d.doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
 
 def statements() -> dict[str, str]:
-    return {"op8_exact_topk": TOP_K}
+    return {"op2_decontamination": DECONTAMINATION, "op6_line_dedup": LINE_DEDUP, "op8_exact_topk": TOP_K}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codequarry.llm import html, langid, quality, topk
+from codequarry.llm import decontamination, html, langid, line_dedup, quality, topk
 from codequarry.llm import token_counts as tokens
 from codequarry.llm.common import table
 from codequarry.sources.storage import written
@@ -15,6 +15,10 @@ def op1_quality_classifier(spark, folder):
     return quality.score(described, quality.fit(described, table(spark, folder, "labels")))
 
 
+def op2_decontamination(spark, folder):
+    return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op3_token_counts(spark, folder):
     return tokens.token_counts(table(spark, folder, "documents"), limit=1024)
 
@@ -23,6 +27,13 @@ def op4_html_extraction(spark, folder):
     return html.main_texts(table(spark, folder, "pages"))
 
 
+def op6_line_dedup(spark, folder):
+    cleaned = line_dedup.dedup_lines(table(spark, folder, "documents"))
+    return cleaned.select(
+        "doc_id", "n_lines", "n_removed", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5")
+    )
+
+
 def op7_language_id(spark, folder):
     docs = table(spark, folder, "documents")
     return langid.identify(docs, langid.learn(docs))
@@ -37,8 +48,10 @@ def op8_exact_topk(spark, folder):
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
     "op4_html_extraction": op4_html_extraction,
+    "op6_line_dedup": op6_line_dedup,
     "op7_language_id": op7_language_id,
     "op8_exact_topk": op8_exact_topk,
 }
