@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codequarry.llm import decontamination, html, langid, line_dedup, pii, quality, topk
+from codequarry.llm import decontamination, html, langid, line_dedup, pieces, pii, quality, topk
 from codequarry.llm import token_counts as tokens
 from codequarry.llm.common import table
 from codequarry.sources.storage import written
@@ -27,6 +27,10 @@ def op4_html_extraction(spark, folder):
     return html.main_texts(table(spark, folder, "pages"))
 
 
+def op5_sentencepiece(spark, folder):
+    return pieces.segmentation_digest(table(spark, folder, "documents"), n=2)
+
+
 def op6_line_dedup(spark, folder):
     cleaned = line_dedup.dedup_lines(table(spark, folder, "documents"))
     return cleaned.select(
@@ -56,6 +60,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
     "op4_html_extraction": op4_html_extraction,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_line_dedup": op6_line_dedup,
     "op7_language_id": op7_language_id,
     "op8_exact_topk": op8_exact_topk,
