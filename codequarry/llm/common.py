@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Largest table, in rows, that an operator broadcasts after counting it.
 BROADCAST_ROWS = 200_000
@@ -39,11 +40,8 @@ def map_batches(
     The batches are bounded by ``spark.sql.execution.arrow.maxBytesPerBatch``; columns that
     ``fn`` leaves out of its result are dropped.
     """
-    names = [f.split()[0] for f in re.split(r",\s*(?![^<]*>)", schema)]
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    names = arrow.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
