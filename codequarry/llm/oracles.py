@@ -71,6 +71,30 @@ SELECT d.doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+JACCARD_JOIN = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+), starts AS (
+  SELECT doc_id, words, unnest(range(1, greatest(1, len(words) - 2) + 1)) AS i FROM w WHERE len(words) > 0
+), shingle AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 2], ' ') AS s FROM starts
+), size AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), link AS MATERIALIZED (
+  SELECT c.x, c.y
+  FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM shingle a JOIN shingle b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2) c
+  JOIN size p ON p.doc_id = c.x JOIN size q ON q.doc_id = c.y
+  WHERE 100 * common >= 90 * (p.n + q.n - common)
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM w
+  UNION
+  SELECT r.doc_id, l.y FROM reach r JOIN link l ON l.x = r.other
+)
+SELECT r.doc_id, coalesce(max(size.n), 0) AS n_shingles, min(other) AS component_id
+FROM reach r LEFT JOIN size USING (doc_id) GROUP BY r.doc_id
+"""
+
 
 def statements() -> dict[str, str]:
-    return {"op2_decontamination": DECONTAMINATION, "op6_line_dedup": LINE_DEDUP, "op8_exact_topk": TOP_K}
+    return {"op9_jaccard_join": JACCARD_JOIN, "op2_decontamination": DECONTAMINATION, "op6_line_dedup": LINE_DEDUP, "op8_exact_topk": TOP_K}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codequarry.llm import decontamination, html, langid, line_dedup, pieces, pii, quality, topk
+from codequarry.llm import decontamination, html, jaccard, langid, line_dedup, pieces, pii, quality, topk
 from codequarry.llm import token_counts as tokens
 from codequarry.llm.common import table
 from codequarry.sources.storage import written
@@ -50,6 +50,10 @@ def op8_exact_topk(spark, folder):
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op9_jaccard_join(spark, folder):
+    return jaccard.similar_groups(table(spark, folder, "documents"), percent=90, size=3)
+
+
 def op10_pii(spark, folder):
     docs = table(spark, folder, "documents")
     return pii.span_digest(docs, pii.find_spans(docs))
@@ -64,5 +68,6 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_language_id": op7_language_id,
     "op8_exact_topk": op8_exact_topk,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_pii": op10_pii,
 }
