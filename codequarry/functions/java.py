@@ -20,27 +20,44 @@ LEXEMES = (
     r"|[\s\S]"
 )
 
-_MODS = "|".join(MODIFIERS)
-_NOT_NAME = "|".join(MODIFIERS + CONTROL_WORDS)
-
-PACKAGE = r"(?:^|[;\s])package\s+([\w.]+)\s*;"
-IMPORT = r"(?:^|[;\s])import\s+([\w.]+)\s*;"
-UNIT = r"^(package|import) ([\w.]+)$"
-CALL = r"(\w+)\.(\w+)\("
-ANNOTATION = r"@(?!interface\b)[\w.]+(?:\s*\((?:[^()]|\([^()]*\))*\))?"
-TYPE_HEADER = r"(?:^|[^@.\w])(class|interface|enum|record)\s+(\w+)"
-ANONYMOUS_HEADER = r"(?s)\bnew\s+[\w.]+\s*\(.*\)$"
-EXTENDS = r"\bextends\s+([\w.]+)"
-IMPLEMENTS = r"\bimplements\s+([\w.,\s]+)"
+# Names as the language has them: any script, digits, _ and $.
+NAME = r"\p{javaJavaIdentifierStart}\p{javaJavaIdentifierPart}*+"
+DOTTED = rf"{NAME}(?:\.{NAME})*"
+_NO_PART = r"(?!\p{javaJavaIdentifierPart})"
+_MODS = "(?:" + "|".join(MODIFIERS) + ")" + _NO_PART
+_NOT_NAME = "(?!(?:" + "|".join(MODIFIERS + CONTROL_WORDS) + ")" + _NO_PART + ")"
+# Brackets are matched to this depth, far beyond what people nest.
+DEPTH = 40
+
+
+def nested(left: str, right: str, depth: int = DEPTH) -> str:
+    """Pattern of a balanced bracket with whatever is inside."""
+    plain = rf"[^\{left}\{right}]++"
+    inside = rf"(?:{plain})?+"
+    for _ in range(depth - 1):
+        inside = rf"(?:{plain}|\{left}{inside}\{right})*+"
+    return rf"\{left}{inside}\{right}"
+
+
+PACKAGE = rf"(?:^|[;\s])package\s+({DOTTED})\s*;"
+IMPORT = rf"(?:^|[;\s])import\s+({DOTTED})\s*;"
+UNIT = rf"^(package|import) ({DOTTED})$"
+CALL = rf"({NAME})\.({NAME})\("
+ANNOTATION = rf"@(?!interface{_NO_PART}){DOTTED}"
+# An annotation with its arguments; then other text.
+ANNOTATED = rf"{ANNOTATION}(?:\s*+{nested('(', ')')})?+|[^@]++|@"
+TYPE_HEADER = rf"(?<![@.\p{{javaJavaIdentifierPart}}])(class|interface|enum|record)\s+({NAME})"
+ANONYMOUS_HEADER = rf"(?s)(?<!\p{{javaJavaIdentifierPart}})new\s+{DOTTED}\s*\(.*\)$"
+EXTENDS = rf"(?<!\p{{javaJavaIdentifierPart}})extends\s+({DOTTED})"
+IMPLEMENTS = rf"(?<!\p{{javaJavaIdentifierPart}})implements\s+({DOTTED}(?:\s*,\s*{DOTTED})*)"
+_THROWS = rf"throws\s+{DOTTED}(?:\s*,\s*{DOTTED})*\s*"
 METHOD_HEADER = (
-    rf"(?:^|\s)(?!(?:{_NOT_NAME})\b)([\w.]+)(?:\s*\[\s*\])*"
-    rf"\s+(?!(?:{_NOT_NAME})\b)(\w+)\s*\([^()]*\)\s*(?:\[\s*\]\s*)*(?:throws\s[\w.,\s]+|default\b[\s\S]*)?$"
-)
-CONSTRUCTOR_HEADER = rf"^(?:(?:{_MODS})\s+)*(\w+)\s*\([^()]*\)\s*(?:throws\s[\w.,\s]+)?$"
-FIELD = (
-    rf"^(?:(?:{_MODS})\s+)*(?!(?:{_NOT_NAME})\b)([\w.]+)(?:\s*\[\s*\])*"
-    rf"\s+(?!(?:{_NOT_NAME})\b)(\w+)\s*(?:\[\s*\]\s*)*$"
+    rf"(?:^|\s){_NOT_NAME}({DOTTED})(?:\s*\[\s*\])*"
+    rf"\s+{_NOT_NAME}({NAME})\s*\([^()]*\)\s*(?:\[\s*\]\s*)*(?:{_THROWS}|default{_NO_PART}[\s\S]*)?$"
 )
+CONSTRUCTOR_HEADER = rf"^(?:{_MODS}\s+)*({NAME})\s*\([^()]*\)\s*(?:{_THROWS})?$"
+FIELD = rf"^(?:{_MODS}\s+)*{_NOT_NAME}({DOTTED})(?:\s*\[\s*\])*\s+{_NOT_NAME}({NAME})\s*(?:\[\s*\]\s*)*$"
+GENERIC = nested("<", ">")
 
 
 def lexemes(code: Column) -> Column:
@@ -61,24 +78,26 @@ def strip_comments(code: Column) -> Column:
     return F.array_join(F.filter(lexemes(code), lambda t: ~_is_comment(t)), "")
 
 
+def _blank(t: Column) -> Column:
+    return F.repeat(F.lit(" "), F.length(t))
+
+
 def blank_hidden(code: Column) -> Column:
-    """Comments and literals become blanks of the same length, so offsets hold."""
-    return F.array_join(
-        F.transform(
-            lexemes(code),
-            lambda t: F.when(
-                _is_comment(t) | _is_literal(t), F.repeat(F.lit(" "), F.length(t))
-            ).otherwise(t),
-        ),
-        "",
+    """Comments, literals and annotation arguments become blanks of the same length, so offsets hold."""
+    shown = F.array_join(
+        F.transform(lexemes(code), lambda t: F.when(_is_comment(t) | _is_literal(t), _blank(t)).otherwise(t)), ""
     )
 
+    def without_arguments(t: Column) -> Column:
+        name = F.substring_index(t, "(", 1)
+        return F.when(t.startswith("@") & t.contains("("), F.concat(name, F.repeat(F.lit(" "), F.length(t) - F.length(name)))).otherwise(t)
+
+    parts = F.regexp_extract_all(shown, F.lit(ANNOTATED), F.lit(0))
+    return F.when(code.contains("@"), F.array_join(F.transform(parts, without_arguments), "")).otherwise(shown)
+
 
 def plain_header(header: Column) -> Column:
-    """Header without annotations and type arguments (four nesting levels)."""
+    """Header without annotations and type arguments."""
     out = F.when(header.contains("@"), F.regexp_replace(header, ANNOTATION, " ")).otherwise(header)
-    stripped = out
-    for _ in range(4):
-        stripped = F.regexp_replace(stripped, r"<[^<>]*>", " ")
-    out = F.when(out.contains("<"), stripped).otherwise(out)
+    out = F.when(out.contains("<"), F.regexp_replace(out, GENERIC, " ")).otherwise(out)
     return F.trim(F.regexp_replace(out, r"\s+", " "))

@@ -203,6 +203,7 @@ def corpus() -> list[str]:
         "cu AS (SELECT *, 'src/model/Customer' || c_custkey || '.java' AS path FROM customer)",
         "na AS (SELECT *, 'src/model/Nation' || n_nationkey || '.java' AS path FROM nation)",
         "re AS (SELECT *, 'src/model/Region' || r_regionkey || '.java' AS path FROM region)",
+        "gr AS (SELECT *, 'Größe' || r_regionkey || '.java' AS path FROM region)",
         "sta AS (SELECT o_orderstatus, 'src/model/Status' || o_orderstatus || '.java' AS path FROM (SELECT DISTINCT o_orderstatus FROM orders))",
         "su AS (SELECT *, 'src/model/Supplier' || s_suppkey || '.java' AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal >= 0)",
         "steps AS MATERIALIZED (SELECT o.*, CAST(i AS INTEGER) AS i FROM o JOIN range(1, 6) t(i) ON i <= p)",
@@ -217,7 +218,7 @@ def _sql(template: str, columns) -> str:
 
 
 def _types() -> str:
-    o, k, s = C.ORDER_COLUMNS, C.CUSTOMER_COLUMNS, C.SUPPLIER_COLUMNS
+    o, k, s, r = C.ORDER_COLUMNS, C.CUSTOMER_COLUMNS, C.SUPPLIER_COLUMNS, {"r": "r_regionkey"}
     order_body = (
         _sql(C.ORDER_FIELDS, o) + " || " + C.order_steps_sql(o, "p") + " || " + _sql("  " + C.INNER + "\n", o)
     )
@@ -232,6 +233,8 @@ def _types() -> str:
     {_sql(chr(10) + '  ' + C.TOUCH + chr(10), k)}, {_sql(C.NATION, {'n': 'n_nationkey'})}, 0 FROM na
   UNION ALL SELECT path, 'Region' || r_regionkey, 'interface', NULL, NULL,
     {_sql(chr(10) + '  String label(int level);' + chr(10), k)}, NULL, 0 FROM re
+  UNION ALL SELECT path, 'Größe' || r_regionkey, 'class', 'Über$Basis' || r_regionkey, 'Region' || r_regionkey,
+    {_sql(C.SIZE_BODY, r)}, {_sql(C.SIZE_OPEN + C.SIZE_BODY + '}', r)}, 0 FROM gr
   UNION ALL SELECT path, 'Status' || o_orderstatus, 'interface', NULL, NULL,
     {_sql(chr(10) + '  void audit(int level);' + chr(10), k)}, NULL, 0 FROM sta
   UNION ALL SELECT path, 'Supplier' || s_suppkey, 'class', 'Party', 'Region' || n_regionkey,
@@ -239,28 +242,32 @@ def _types() -> str:
 
 
 def _members() -> str:
-    return """me AS MATERIALIZED (
+    r = {"r": "r_regionkey"}
+    return f"""me AS MATERIALIZED (
   SELECT path, 'Order' || o_orderkey AS type_name, 'field' AS member, 1 AS ordinal, 'Customer' || o_custkey AS field_type, 'owner' AS name,
     'private Customer' || o_custkey || ' owner;' AS text FROM o
   UNION ALL SELECT path, 'Order' || o_orderkey, 'field', 2, 'List', 'tags', 'List<String> tags;' FROM o
-  UNION ALL SELECT path, 'Order' || o_orderkey, 'field', 3, 'String', 'label', 'String label = "} ' || chr(92) || '" {";' FROM o
+  UNION ALL SELECT path, 'Order' || o_orderkey, 'field', 3, 'String', 'label', 'String label = "}} ' || chr(92) || '" {{";' FROM o
   UNION ALL SELECT path, 'Order' || o_orderkey, 'field', 4, 'char', 'q', 'char q = ' || chr(39) || '"' || chr(39) || ';' FROM o
-  UNION ALL SELECT path, 'Order' || o_orderkey, 'field', 5, 'char', 'b', 'char b = ' || chr(39) || '{' || chr(39) || ';' FROM o
+  UNION ALL SELECT path, 'Order' || o_orderkey, 'field', 5, 'char', 'b', 'char b = ' || chr(39) || '{{' || chr(39) || ';' FROM o
   UNION ALL SELECT path, 'Order' || o_orderkey, 'method', i, NULL, 'step' || i,
-    'public void step' || i || '(int a) { if (a > ' || i || ') { Customer' || o_custkey || '.touch(); } }' FROM steps
-  UNION ALL SELECT path, 'Inner' || o_orderkey, 'method', 1, NULL, 'ping', 'void ping() { owner.notify(1); }' FROM o
+    'public void step' || i || '(int a) {{ if (a > ' || i || ') {{ Customer' || o_custkey || '.touch(); }} }}' FROM steps
+  UNION ALL SELECT path, 'Inner' || o_orderkey, 'method', 1, NULL, 'ping', 'void ping() {{ owner.notify(1); }}' FROM o
   UNION ALL SELECT path, 'Customer' || c_custkey, 'field', 1, 'Nation' || c_nationkey, 'home', 'Nation' || c_nationkey || ' home;' FROM cu
-  UNION ALL SELECT path, 'Customer' || c_custkey, 'method', 1, NULL, 'touch', 'public static void touch() { }' FROM cu
-  UNION ALL SELECT path, 'Nation' || n_nationkey, 'method', 1, NULL, 'touch', 'public static void touch() { }' FROM na
+  UNION ALL SELECT path, 'Customer' || c_custkey, 'method', 1, NULL, 'touch', 'public static void touch() {{ }}' FROM cu
+  UNION ALL SELECT path, 'Nation' || n_nationkey, 'method', 1, NULL, 'touch', 'public static void touch() {{ }}' FROM na
   UNION ALL SELECT path, 'Region' || r_regionkey, 'method', 1, NULL, 'label', 'String label(int level);' FROM re
   UNION ALL SELECT path, 'Status' || o_orderstatus, 'method', 1, NULL, 'audit', 'void audit(int level);' FROM sta
   UNION ALL SELECT path, 'Supplier' || s_suppkey, 'field', 1, 'List', 'homes', 'List<Nation' || n_nationkey || '> homes;' FROM su
-  UNION ALL SELECT path, 'Supplier' || s_suppkey, 'field', 2, 'int', 'sizes', 'int[] sizes = {1, 2}' FROM su
+  UNION ALL SELECT path, 'Supplier' || s_suppkey, 'field', 2, 'int', 'sizes', 'int[] sizes = {{1, 2}}' FROM su
   UNION ALL SELECT path, 'Supplier' || s_suppkey, 'field', 3, 'String', 'note',
-    'String note = ""\"' || chr(10) || '  { "x" } ""\";' FROM su
+    'String note = ""\"' || chr(10) || '  {{ "x" }} ""\";' FROM su
   UNION ALL SELECT path, 'Supplier' || s_suppkey, 'method', 1, NULL, 'pay', 'abstract void pay();' FROM su
   UNION ALL SELECT path, 'Supplier' || s_suppkey, 'method', 2, NULL, 'run',
-    'void run() { Runnable r = () -> { Nation' || n_nationkey || '.touch(); }; new Thread() { public void run() { } }; }' FROM su)"""
+    'void run() {{ Runnable r = () -> {{ Nation' || n_nationkey || '.touch(); }}; new Thread() {{ public void run() {{ }} }}; }}' FROM su
+  UNION ALL SELECT path, 'Größe' || r_regionkey, 'field', 1, 'Ann$Type' || r_regionkey, 'ähnlich', {_sql(C.NAMED, r)} FROM gr
+  UNION ALL SELECT path, 'Größe' || r_regionkey, 'field', 2, 'Map', 'tief', {_sql(C.DEEP, r)} FROM gr
+  UNION ALL SELECT path, 'Größe' || r_regionkey, 'method', 1, NULL, 'öffne', {_sql(C.OPEN_METHOD, r)} FROM gr)"""
 
 
 def _decls() -> str:
@@ -278,11 +285,14 @@ PACKAGE_ROWS = """pk AS (
 IMPLEMENTS = """im AS (
   SELECT path, 'Order' || o_orderkey AS name, 'Status' || o_orderstatus AS interface FROM o
   UNION ALL SELECT path, 'Order' || o_orderkey, 'Region' || n_regionkey FROM o
-  UNION ALL SELECT path, 'Supplier' || s_suppkey, 'Region' || n_regionkey FROM su)"""
+  UNION ALL SELECT path, 'Supplier' || s_suppkey, 'Region' || n_regionkey FROM su
+  UNION ALL SELECT path, 'Größe' || r_regionkey, 'Region' || r_regionkey FROM gr)"""
 CALLS = """ca AS (
-  SELECT path, 'Order' || o_orderkey AS caller_type, 'step' || i AS caller_method, 'Customer' || o_custkey AS receiver, 'touch' AS callee FROM steps
-  UNION ALL SELECT path, 'Inner' || o_orderkey, 'ping', 'owner', 'notify' FROM o
-  UNION ALL SELECT path, 'Supplier' || s_suppkey, 'run', 'Nation' || n_nationkey, 'touch' FROM su)"""
+  SELECT path, 'Order' || o_orderkey AS caller_type, 'step' || i AS caller_method, 'Customer' || o_custkey AS receiver, 'touch' AS callee, 1 AS nth FROM steps
+  UNION ALL SELECT path, 'Inner' || o_orderkey, 'ping', 'owner', 'notify', 1 FROM o
+  UNION ALL SELECT path, 'Supplier' || s_suppkey, 'run', 'Nation' || n_nationkey, 'touch', 1 FROM su
+  UNION ALL SELECT path, 'Größe' || r_regionkey, 'öffne', 'Nation$X', 'erste', 1 FROM gr
+  UNION ALL SELECT path, 'Größe' || r_regionkey, 'öffne', 'Größe' || r_regionkey, 'zweite', 2 FROM gr)"""
 RELATIONS = [
     IMPLEMENTS,
     CALLS,
@@ -290,7 +300,7 @@ RELATIONS = [
     "imp AS (SELECT name AS source, interface AS target, 'implements' AS relation FROM im)",
     """aso AS (SELECT type_name AS source, field_type AS target, 'associates' AS relation FROM me
   WHERE member = 'field' AND (field_type LIKE 'Customer%' OR field_type LIKE 'Nation%'))""",
-    "use AS (SELECT caller_type AS source, receiver AS target, 'uses' AS relation FROM ca WHERE receiver <> 'owner')",
+    "use AS (SELECT caller_type AS source, receiver AS target, 'uses' AS relation FROM ca WHERE receiver NOT IN ('owner', 'Nation$X'))",
     "rel AS MATERIALIZED (FROM ext UNION ALL FROM imp UNION ALL FROM aso UNION ALL FROM use)",
 ]
 GRAPH = [
@@ -313,8 +323,8 @@ def diagram_lines() -> list[str]:
     number = " ".join(f"WHEN '{r}' THEN {i}" for i, r in enumerate(EDGE_TEXT, 1))
     return [
         PACKAGE_ROWS, *RELATIONS,
-        "home AS (SELECT DISTINCT path, package FROM pk)",
-        "groups AS (SELECT DISTINCT package FROM pk)",
+        "home AS (SELECT DISTINCT path, coalesce(package, '') AS package FROM ty LEFT JOIN pk USING (path))",
+        "groups AS (SELECT DISTINCT package FROM home)",
         f"""lines AS MATERIALIZED (
   SELECT package, 0 AS section, '' AS name, 0 AS part, 0 AS ordinal, '```mermaid' AS line FROM groups
   UNION ALL SELECT package, 0, '', 1, 0, 'classDiagram' FROM groups
@@ -372,7 +382,7 @@ def statements() -> dict[str, str]:
     # extraction
     out["strip_comments"] = over_corpus(
         body=f"SELECT path, {no_comment} || {C.order_class_sql()} || {NL} AS content FROM o "
-        "UNION ALL SELECT path, content FROM corpus WHERE path LIKE 'src/model/%'"
+        "UNION ALL SELECT path, content FROM corpus WHERE path LIKE 'src/model/%' OR path LIKE 'Größe%'"
     )
     out["extract_packages"] = over_corpus(PACKAGE_ROWS, body="SELECT path, package, class_name FROM pk")
     out["package_members"] = over_corpus(
@@ -438,7 +448,7 @@ FROM tscore GROUP BY ALL""",
         body="SELECT kind, count(*) AS snippets, count(DISTINCT path) AS files FROM de GROUP BY kind"
     )
     out["calls_by_method"] = over_corpus(
-        CALLS, body="""SELECT path, caller_type, caller_method, string_agg(receiver || '.' || callee, ',') AS calls FROM ca GROUP BY ALL"""
+        CALLS, body="""SELECT path, caller_type, caller_method, string_agg(receiver || '.' || callee, ',' ORDER BY nth) AS calls FROM ca GROUP BY ALL"""
     )
     out["members_by_type"] = over_corpus(
         body="""SELECT path, type_name,

@@ -2,7 +2,8 @@
 
 The templates hold what trips simple extraction: commented-out classes, braces in
 literals, a text block, nested and anonymous classes, lambdas, array initialisers,
-constructors, generic types, static imports, non-ASCII text. ``sql_concat`` renders a
+constructors, deep generic types, static imports, non-ASCII text and names, names with $,
+annotations with arrays and nested arguments, a file without package. ``sql_concat`` renders a
 template as a concatenation that any SQL engine reads, so expected contents can be written
 with the same helper. No file grows with the size of a group.
 """
@@ -48,6 +49,11 @@ SUPPLIER_FIELDS = (
     '  String note = """\n  { "x" } """;\n  '
 )
 SUPPLIER_OPEN = "abstract class Supplier{s} extends Party<String> implements Region{r} {"
+SIZE_OPEN = '@SuppressWarnings({"a", "b"})\npublic class Größe{r} extends Über$Basis{r} implements Region{r} {'
+NAMED = '@Named(value = {"x"}, of = @At(by = @In(c(d = 1)))) private Ann$Type{r} ähnlich;'
+DEEP = "Map<A<B<C<D<E<String>>>>>, int[]> tief;"
+OPEN_METHOD = "@Deprecated public void öffne() { Nation$X.erste(); Größe{r}.zweite(); }"
+SIZE_BODY = "\n  " + NAMED + "\n  " + DEEP + "\n  " + OPEN_METHOD + "\n"
 
 
 def sql_concat(template: str, columns: Mapping[str, str]) -> str:
@@ -112,6 +118,10 @@ SELECT {sql_concat('src/model/Region{r}.java', region)},
        {sql_concat(CUSTOMER_HEAD + REGION, region)} || chr(10)
 FROM region
 UNION ALL
+SELECT {sql_concat('Größe{r}.java', region)},
+       {sql_concat(SIZE_OPEN + SIZE_BODY + '}', region)} || chr(10)
+FROM region
+UNION ALL
 SELECT {sql_concat('src/model/Status{s}.java', status)},
        {sql_concat(CUSTOMER_HEAD + STATUS, status)} || chr(10)
 FROM (SELECT DISTINCT o_orderstatus FROM orders) st

@@ -205,3 +205,41 @@ def test_empty_corpus(files, spark):
     f = spark.createDataFrame([], "path string, content string")
     assert X.snippets(f).count() == 0
     assert X.extract_calls(declarations(f)).count() == 0
+
+
+def test_names_of_any_script_and_dollar(files):
+    f = files(A="class Größe extends Über$Klasse { private Ann$Type ähnlich; void öffne() { Foo$Bar.los(); newÄ x; } }")
+    d = declarations(f)
+    assert rows(X.extract_types(d), "name", "parent") == [("Größe", "Über$Klasse")]
+    assert rows(X.extract_fields(d), "field_type", "name") == [("Ann$Type", "ähnlich")]
+    assert rows(X.extract_methods(d), "name") == [("öffne",)]
+    assert rows(X.extract_calls(d), "receiver", "callee") == [("Foo$Bar", "los")]
+
+
+def test_annotation_arguments_hide_nothing(files):
+    f = files(
+        A='@SuppressWarnings({"a","b"}) class A { @Named({"x"}) private Ann other; @A(b=@B(c(d=1))) int z; @Deprecated void f() { } }'
+    )
+    d = declarations(f)
+    assert rows(X.extract_fields(d), "field_type", "name") == [("Ann", "other"), ("int", "z")]
+    assert [r.content[:5] for r in X.snippets(f, d).sort("start").collect()] == ["@Supp", "@Depr"]
+
+
+def test_deep_generics(files):
+    d = declarations(files(A="class A<T extends B<C<D<E<F<G<H>>>>>>> extends P<Q<R<S<T<U<V>>>>>> { Map<A<B<C<D<E<F>>>>>, G> m; }"))
+    assert rows(X.extract_types(d), "name", "parent") == [("A", "P")]
+    assert rows(X.extract_fields(d), "field_type", "name") == [("Map", "m")]
+
+
+def test_diagrams_of_the_default_package_and_of_the_whole(files):
+    from codequarry.operators.rendering import class_diagram
+
+    f = files(A="class A extends B { int x; }", B="package p; class B { }")
+    d = declarations(f)
+    types, fields = X.extract_types(d), X.extract_fields(d)
+    drawn = R.all_relations(types, fields, X.extract_calls(d), X.declared_imports(d))
+    parts = (R.type_catalogue(types), fields, X.extract_methods(d), drawn, X.declared_packages(d))
+    lines = rows(class_diagram(*parts), "package", "line")
+    assert ("", "    class A {") in lines and ("p", "    class B {") in lines and ("", "        int x") in lines
+    whole = rows(class_diagram(*parts, by_package=False), "package", "line")
+    assert len(whole) == len(lines) - 3 and {p for p, _ in whole} == {""}
