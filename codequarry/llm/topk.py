@@ -3,14 +3,15 @@
 Candidates are dealt into blocks. A block keeps one sorted list per component. A query reads its
 lists from the end that adds most, the same depth in each, and knows for every candidate a lower
 and an upper bound of its score: what was read, plus the least or the most that the unread part of
-each other list can add. The depth doubles until so few candidates can still reach the k-th lower
-bound that scoring them is cheaper than reading on; then their final scores are resolved. Nobody
-that could qualify is left out, ties included, so results are exact.
+each other list can add. The depth doubles, at most to half of a list, and candidates whose upper
+bound is below the k-th lower bound are out; reading stops early when few are left. The final
+scores of the others are resolved. Nobody that could qualify is left out, ties included, so results
+are exact. Bounds of all queries of a block come from the same matrix products.
 
 Components are turned into floor(scale * x) first. Vectors that are null or hold a null or
 non-finite component take no part, neither do vectors of another length meet. Empty vectors score
-0 with each other. Repeated ids are candidates row by row, but an id never meets its own. Sums are
-64-bit: |scale * x| may reach 2^26 for 1,000 components.
+0 with each other. Repeated ids are candidates row by row, but an id never meets its own. Scores
+are exact integers below 2^53.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 # Candidates and queries that meet in one task at most (on average; dealt by hash).
-CANDIDATES, QUERIES = 8192, 1024
+CANDIDATES, QUERIES = 4096, 512
 
 
 class SortedLists:
@@ -30,40 +31,54 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
+        self.ids, self.vectors = ids[order], vectors[order].astype(np.float64)
         n, dims = vectors.shape
         by_value = np.argsort(self.vectors, axis=0, kind="stable")
         self.lists = np.take_along_axis(self.vectors, by_value, axis=0)
         self.place = np.empty((n, dims), dtype=np.int32)  # where each candidate stands in each list
         np.put_along_axis(self.place, by_value, np.arange(n, dtype=np.int32)[:, None], axis=0)
 
-    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best other rows, ties to the smaller id."""
+    def bounds(self, up: np.ndarray, down: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of all scores after ``depth`` entries of each list.
+
+        ``up`` has the positive query components (their lists are read from the top), ``down`` the
+        negative ones (read from the bottom). Rows are candidates, columns queries.
+        """
         n = len(self.ids)
-        others = self.ids != query_id
-        alive = np.flatnonzero(others)
-        used = np.flatnonzero(query)
-        weights = query[used]
-        down = weights > 0
-        least = weights * np.where(down, self.lists[0, used], self.lists[-1, used])
-        depth = max(4 * k, n // 16)
-        while depth < n and len(alive) > 4 * k and len(used):
-            next_value = np.where(down, self.lists[n - depth, used], self.lists[depth - 1, used])
-            most = weights * next_value
-            place = self.place[np.ix_(alive, used)]
-            read = np.where(down, place >= n - depth, place < depth)
-            parts = np.where(read, self.vectors[np.ix_(alive, used)] * weights, 0)
-            known, unread = parts.sum(1), ~read
-            lower = known + unread @ least
-            upper = known + unread @ most
-            if len(alive) > k:
-                alive = alive[upper >= np.partition(lower, -k)[-k]]
-            if len(alive) <= n // 16:
-                break
+        top, bottom = (self.place >= n - depth).astype(float), (self.place < depth).astype(float)
+        known = (self.vectors * top) @ up + (self.vectors * bottom) @ down
+
+        def unread(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+            a, b = up * high[:, None], down * low[:, None]
+            return (a + b).sum(0) - top @ a - bottom @ b
+
+        lower = known + unread(self.lists[0], self.lists[-1])
+        return lower, known + unread(self.lists[n - depth], self.lists[depth - 1])
+
+    def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per query the ids and scores of the k best other rows, ties to the smaller id."""
+        n, asked = len(self.ids), queries.T.astype(np.float64)
+        up, down = np.maximum(asked, 0), np.minimum(asked, 0)
+        alive = self.ids[:, None] != query_ids[None, :]
+        reading, depth = np.arange(len(query_ids)), max(1, n // 8)
+        while depth < n and n > 8 * k and len(reading):
+            lower, upper = self.bounds(up[:, reading], down[:, reading], depth)
+            lower[~alive[:, reading]] = -np.inf
+            worst = np.partition(lower, n - k, axis=0)[n - k]
+            alive[:, reading] &= upper >= worst
+            reading = reading[alive[:, reading].sum(0) > 4 * k]
             depth *= 2
-        scores = self.vectors[alive] @ query
-        best = np.lexsort((self.ids[alive], -scores))[:k]
-        return self.ids[alive][best], scores[best]
+        result = []
+        whole = self.vectors @ asked if alive.sum() > n else None
+        for j in range(len(query_ids)):
+            left = np.flatnonzero(alive[:, j])
+            scores = whole[left, j] if whole is not None else self.vectors[left] @ asked[:, j]
+            if len(left) > k:
+                best = scores >= np.partition(scores, len(left) - k)[len(left) - k]
+                left, scores = left[best], scores[best]
+            order = np.lexsort((self.ids[left], -scores))[:k]
+            result.append((self.ids[left][order], scores[order].astype(np.int64)))
+        return result
 
 
 def quantised(column: str | Column, scale: int = 1024) -> Column:
@@ -101,8 +116,8 @@ def top_k(
         if rows.num_rows and asked.num_rows:
             dims = key[2].as_py()
             lists = SortedLists(rows.column("vec_id").to_numpy(), _matrix(rows, dims))
-            for own, vector in zip(asked.column("vec_id").to_pylist(), _matrix(asked, dims)):
-                ids, scores = lists.top(own, vector, k)
+            own_ids = asked.column("vec_id").to_numpy()
+            for own, (ids, scores) in zip(own_ids, lists.top(own_ids, _matrix(asked, dims), k)):
                 query_id.append(np.full(len(ids), own))
                 vec_id.append(ids)
                 score.append(scores)

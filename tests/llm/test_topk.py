@@ -26,11 +26,22 @@ def test_blocks_against_all_pairs(kind):
     if kind == "negative":
         x = -abs(x)
     lists, rows = topk.SortedLists(np.arange(700), x), list(enumerate(x.tolist()))
-    for q in range(0, 700, 50):
-        ids, scores = lists.top(q, x[q], 10)
+    asked = np.arange(0, 700, 50)
+    for q, (ids, scores) in zip(asked.tolist(), lists.top(asked, x[asked], 10)):
         assert [(q, n + 1, i, s) for n, (i, s) in enumerate(zip(ids.tolist(), scores.tolist()))] == brute(rows, [(q, rows[q][1])], 10)
 
 
+def test_bounds_hold_at_every_depth():
+    x = np.random.default_rng(9).normal(0, 300, (200, 8)).astype(np.int64)
+    lists, asked = topk.SortedLists(np.arange(200), x), x[:5].T.astype(float)
+    scores, widths = x @ asked, []
+    for depth in (1, 10, 50, 100, 199, 200):
+        lower, upper = lists.bounds(np.maximum(asked, 0), np.minimum(asked, 0), depth)
+        assert (lower <= scores).all() and (scores <= upper).all()
+        widths.append((upper - lower).sum())
+    assert widths == sorted(widths, reverse=True) and widths[-1] == 0
+
+
 def test_spark_rows_with_odd_vectors(spark):
     draw = np.random.default_rng(8)
     rows = [(i, draw.normal(0, 1, 6).tolist()) for i in range(300)]
