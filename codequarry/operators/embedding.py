@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,16 +51,12 @@ def embed(texts: DataFrame, dim: int = 256, model: Callable[[Column], Column] |
 def mean_pool(vectors: DataFrame) -> DataFrame:
     """``id, embedding``: the mean vector per id.
 
-    Averages run per (id, dimension) with partial aggregation, so an id with very many
-    vectors is combined before the shuffle.
+    Whole vectors are added up in each task before the shuffle, so an id with very many
+    vectors is no burden and no vector is taken apart into rows.
     """
-    means = (
-        vectors.select("id", F.posexplode("embedding").alias("dim", "x"))
-        .groupBy("id", "dim")
-        .agg(F.avg(F.col("x").cast("double")).alias("x"))
-    )
-    listed = F.array_sort(F.collect_list(F.struct("dim", "x")))
-    return means.groupBy("id").agg(F.transform(listed, lambda c: c["x"]).alias("embedding"))
+    doubles = F.transform("embedding", lambda x: x.cast("double"))
+    pooled = vectors.filter(F.col("embedding").isNotNull()).groupBy("id").agg(Summarizer.mean(array_to_vector(doubles)).alias("mean"))
+    return pooled.select("id", vector_to_array("mean").alias("embedding"))
 
 
 def embed_long(texts: DataFrame, window: int = 512, dim: int = 256) -> DataFrame:

@@ -11,13 +11,20 @@ from pyspark.sql import DataFrame
 def generate(prompts: DataFrame, fn: Callable[[list[str]], list[str]]) -> DataFrame:
     """``query_id, response, error``.
 
-    ``fn`` answers a batch of prompts. If it fails on a batch, each prompt is tried alone,
-    so that one bad prompt costs one response; its error is kept and the job goes on.
+    ``fn`` answers a batch of prompts. If it fails on a batch, or answers another number of
+    prompts, each prompt of the batch is sent again alone, so that one bad prompt costs one
+    response; its error is kept and the job goes on.
     """
 
+    def answers(texts: list[str]) -> list[str]:
+        found = list(fn(texts))
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} answers to {len(texts)} prompts")
+        return found
+
     def alone(text: str) -> tuple[str | None, str | None]:
         try:
-            return fn([text])[0], None
+            return answers([text])[0], None
         except Exception as e:
             return None, f"{type(e).__name__}: {e}"
 
@@ -25,7 +32,7 @@ def generate(prompts: DataFrame, fn: Callable[[list[str]], list[str]]) -> DataFr
         for batch in batches:
             texts = batch["prompt"].tolist()
             try:
-                pairs = [(r, None) for r in fn(texts)]
+                pairs = [(r, None) for r in answers(texts)]
             except Exception:
                 pairs = [alone(t) for t in texts]
             yield pd.DataFrame(

@@ -177,15 +177,20 @@ L2 = "list_distance(m.v, e.embedding::DOUBLE[]) ** 2"
 COSINE = "list_cosine_similarity(m.v, e.embedding::DOUBLE[])"
 
 
+def prompts(style: str, shown: str = "SELECT query_id, rank, d.lang AS kind, d.text AS content FROM hits JOIN documents d ON d.doc_id = hits.id") -> list[str]:
+    """``prompts_<style>(query_id, prompt)`` from ``hits``, ``qs`` and what a hit shows."""
+    head = "kind" if style == "typed" else "'Snippet ' || rank"
+    return [
+        f"""bodies_{style} AS (SELECT query_id, string_agg({NL} || {head} || ':' || {NL} || content || {NL}, '' ORDER BY rank) AS body
+  FROM ({shown}) GROUP BY query_id)""",
+        f"""prompts_{style} AS MATERIALIZED (SELECT query_id,
+  {_nl(PROMPT_HEAD[0])} || text || {_nl(PROMPT_HEAD[1])} || body || {_nl(PROMPT_TAIL[style])} AS prompt
+  FROM qs JOIN bodies_{style} USING (query_id))""",
+    ]
+
+
 def prompt(style: str) -> str:
-    head = "lang" if style == "typed" else "'Snippet ' || rank"
-    return _with(
-        *text_search(BENCH_QUERIES, DOC_TEXTS),
-        f"""bodies AS (SELECT query_id, string_agg({NL} || {head} || ':' || {NL} || d.text || {NL}, '' ORDER BY rank) AS body
-  FROM hits JOIN documents d ON d.doc_id = hits.id GROUP BY query_id)""",
-        body=f"""SELECT query_id, {_nl(PROMPT_HEAD[0])} || text || {_nl(PROMPT_HEAD[1])} || body || {_nl(PROMPT_TAIL[style])} AS prompt
-FROM qs JOIN bodies USING (query_id)""",
-    )
+    return _with(*text_search(BENCH_QUERIES, DOC_TEXTS), *prompts(style), body=f"FROM prompts_{style}")
 
 
 def _nl(text: str) -> str:
@@ -342,14 +347,33 @@ def diagram_lines() -> list[str]:
 NODE_QUERIES = "SELECT CAST(n_nationkey AS BIGINT) AS query_id, 'Nation' || n_nationkey || ' touch' AS text FROM nation"
 
 
-def hashed(name: str, source: str) -> str:
+def hashed(name: str, source: str, dim: int = 256) -> str:
     """``name(id, bucket, x)``: unit-length hashed word counts, non-zero cells."""
     return f"""{name} AS MATERIALIZED (
   SELECT id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS x FROM (
-    SELECT id, CAST(('0x' || substr(md5(term), 1, 8))::BIGINT % 256 AS INTEGER) AS bucket, count(*) AS n FROM (
+    SELECT id, CAST(('0x' || substr(md5(term), 1, 8))::BIGINT % {dim} AS INTEGER) AS bucket, count(*) AS n FROM (
       SELECT id, unnest(regexp_extract_all(lower(text), {WORDS})) AS term FROM ({source})) GROUP BY ALL))"""
 
 
+CODE_DIM = 64
+CODE = [
+    "ix AS MATERIALIZED (SELECT path || '::' || kind || '::' || name AS id, path, kind, name, content FROM de WHERE depth = 0)",
+    hashed("hx", "SELECT id, content AS text FROM ix", CODE_DIM),
+]
+CODE_HITS = [
+    *CODE,
+    "qs AS (SELECT CAST(n_nationkey AS BIGINT) AS query_id, 'abstract class Nation' || n_nationkey || ' touch' AS text FROM nation)",
+    hashed("hq", "SELECT query_id AS id, text FROM qs", CODE_DIM),
+    """hits AS MATERIALIZED (SELECT query_id, CAST(rank AS INTEGER) AS rank, id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank FROM (
+    SELECT q.id AS query_id, ix.id, round(2 - 2 * coalesce(d.dot, 0), 9) AS score
+    FROM (SELECT DISTINCT id FROM hq) q CROSS JOIN ix
+    LEFT JOIN (SELECT hq.id AS query_id, hx.id, sum(hq.x * hx.x) AS dot FROM hq JOIN hx USING (bucket) GROUP BY ALL) d
+    ON d.query_id = q.id AND d.id = ix.id)) WHERE rank <= 5)""",
+]
+CODE_SHOWN = "SELECT query_id, rank, kind, content FROM hits JOIN ix USING (id)"
+
+
 # ---- all -------------------------------------------------------------------------------
 
 def statements() -> dict[str, str]:
@@ -370,8 +394,20 @@ def statements() -> dict[str, str]:
     out["corpus_fingerprint"] = f"""SELECT count(*) AS n_files,
   CAST(sum(('0x' || substr(md5(path || '::' || md5(content)), 1, 12))::BIGINT) AS VARCHAR) AS digest FROM ({doc_files})"""
     out["load_or_create_index"] = over_corpus(
-        body="SELECT path, kind, name, md5(content) AS content_md5 FROM de WHERE depth = 0"
+        *CODE,
+        body="""SELECT path, kind, name, md5(content) AS content_md5, cells
+FROM ix JOIN (SELECT id, count(*) AS cells FROM hx GROUP BY id) USING (id)""",
     )
+    out["code_search"] = over_corpus(
+        *CODE_HITS, body="SELECT query_id, rank, id, kind, round(score, 5) AS score, md5(content) AS content_md5 FROM hits JOIN ix USING (id)"
+    )
+    out["code_prompt"] = over_corpus(
+        *CODE_HITS, *prompts("typed", CODE_SHOWN), *prompts("numbered", CODE_SHOWN),
+        body="SELECT *, 'typed' AS style FROM prompts_typed UNION ALL SELECT *, 'numbered' FROM prompts_numbered",
+    )
+    out["scan_files"] = """SELECT 'd' || item_id % 3 || '/' || CASE item_id % 5 WHEN 1 THEN '_' WHEN 2 THEN '.' ELSE '' END || 'item' || item_id || '.txt' AS path,
+  CAST(CASE item_id % 5 WHEN 3 THEN 0 WHEN 4 THEN octet_length(encode(text)) + 1 ELSE octet_length(encode(text)) END AS BIGINT) AS length,
+  CASE item_id % 5 WHEN 3 THEN md5('') WHEN 4 THEN NULL ELSE md5(text) END AS content_md5, item_id % 5 <> 4 AS good FROM benchmark"""
     out["read_documents"] = "SELECT doc_id, text FROM documents"
     out["write_diagram"] = over_corpus(*diagram_lines(), body="SELECT package, line FROM lines")
     out["results_table"] = _with(
@@ -568,8 +604,8 @@ FROM summ LEFT JOIN t USING (doc_id)""",
 
     # streaming, incremental, user functions
     out["stream_search"] = _with(
-        *text_search("SELECT conv_id * 1000000 + turn AS query_id, text FROM conversations", DOC_TEXTS),
-        body="SELECT query_id, rank, id, round(score, 5) AS score FROM hits",
+        *text_search("SELECT conv_id * 1000000 + turn AS query_id, text FROM conversations", DOC_TEXTS), *prompts("numbered"),
+        body="SELECT query_id, rank, id, round(score, 5) AS score, md5(prompt) AS prompt_md5 FROM hits JOIN prompts_numbered USING (query_id)",
     )
     out["incremental_index"] = """SELECT 'docs/' || d.doc_id AS path, CASE WHEN l.doc_id IS NULL THEN 'added' ELSE 'changed' END AS change
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL OR l.toxic = 1
@@ -579,8 +615,7 @@ UNION ALL SELECT 'pages/' || page_id, 'removed' FROM pages"""
         body="SELECT id, bucket AS dim, round(x, 5) AS x FROM h",
     )
     out["batch_generate"] = _with(
-        *doc_hits,
-        body=f"""SELECT query_id, 'Best: ' || md5(d.text) AS response, CAST(NULL AS VARCHAR) AS error
-FROM hits JOIN documents d ON d.doc_id = id WHERE rank = 1""",
+        *doc_hits, *prompts("numbered"),
+        body="SELECT query_id, 'Seen: ' || md5(prompt) AS response, CAST(NULL AS VARCHAR) AS error FROM prompts_numbered",
     )
     return out

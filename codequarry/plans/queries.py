@@ -17,6 +17,7 @@ from codequarry.sources import corpus, documents, files as file_source, sinks, s
 from codequarry.streaming.search import stream_search
 
 Query = Callable[[SparkSession, str], DataFrame]
+CODE_DIM = 64
 DIAGRAM_ORDER = ["section", "name", "part", "ordinal", "line"]
 
 
@@ -74,9 +75,22 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 # ---- scans, sources, sinks -------------------------------------------------------------
 
 def scan_files(spark, folder):
-    raw = file_source.read_raw(spark, folder, "parquet")
-    name = F.element_at(F.split("path", "/"), -1)
-    return raw.select(name.alias("name"), F.length("bytes").alias("length"), F.md5("bytes").alias("content_md5"))
+    """``benchmark`` as one file per row, some with awkward names or contents, scanned back."""
+    root = storage.new_folder(spark, "scan")
+    item, text = F.col("item_id").cast("string"), F.col("text").cast("binary")
+    kind = F.col("item_id") % 5
+    head = F.when(kind == 1, "_").when(kind == 2, ".").otherwise("")
+    rows = documents.read_table(spark, folder, "benchmark").select(
+        F.concat(F.lit("d"), (F.col("item_id") % 3).cast("string"), F.lit("/"), head, F.lit("item"), item, F.lit(".txt")).alias("name"),
+        F.when(kind == 3, F.lit("").cast("binary")).when(kind == 4, F.concat(text, F.unhex(F.lit("FF")))).otherwise(text).alias("bytes"),
+    )
+    sinks.write_files(rows, root)
+    raw = file_source.read_raw(spark, root, "txt")
+    good, bad = file_source.split_valid(storage.written(raw, "raw"))
+    found = good.select("path", F.octet_length("content").cast("bigint").alias("length"), "content_md5", F.lit(True).alias("good")).unionByName(
+        bad.select("path", "length", F.lit(None).cast("string").alias("content_md5"), F.lit(False).alias("good"))
+    )
+    return found.withColumn("path", F.substring_index("path", "/", -2))
 
 
 def quarantine_bad_files(spark, folder):
@@ -96,16 +110,49 @@ def corpus_fingerprint(spark, folder):
     return file_source.corpus_fingerprint(_doc_files(spark, folder))
 
 
-def load_or_create_index(spark, folder):
-    def build(files):
-        return extraction.snippets(files, top_level_only=True).select(
-            "path", "kind", "name", F.md5("content").alias("content_md5")
-        )
+def _build_index(files):
+    """Top-level snippets with their text and vector."""
+    snips = extraction.snippets(files, top_level_only=True).withColumn("id", F.concat_ws("::", "path", "kind", "name"))
+    vectors = embedding.embed(snips.select("id", F.col("content").alias("text")), CODE_DIM)
+    return snips.select("id", "path", "kind", "name", "content").join(vectors, "id")
+
+
+def _code_index(spark, folder, root=None):
+    root = root or storage.new_folder(spark, "index")
+    return file_source.load_or_create(spark, _code(spark, folder), root, _build_index, version=f"snippets-{CODE_DIM}")
+
 
+def load_or_create_index(spark, folder):
     root = storage.new_folder(spark, "index")
-    code = _code(spark, folder)
-    file_source.load_or_create(spark, code, root, build)
-    return file_source.load_or_create(spark, code, root, build)
+    _code_index(spark, folder, root)
+    cells = F.size(F.filter("embedding", lambda x: x != 0)).cast("bigint")
+    return _code_index(spark, folder, root).select("path", "kind", "name", F.md5("content").alias("content_md5"), cells.alias("cells"))
+
+
+def _code_questions(spark, folder):
+    number = F.col("n_nationkey").cast("string")
+    return documents.read_table(spark, folder, "nation").select(
+        F.col("n_nationkey").cast("bigint").alias("query_id"),
+        F.concat(F.lit("abstract class Nation"), number, F.lit(" touch")).alias("text"),
+    )
+
+
+def _code_hits(spark, folder):
+    index = _code_index(spark, folder)
+    asked = embedding.embed(_code_questions(spark, folder).withColumnRenamed("query_id", "id"), CODE_DIM)
+    hits = search.topk(asked.withColumnRenamed("id", "query_id"), index.select("id", "embedding"), 5)
+    return search.fetch_hits(hits, index.select("id", "path", "kind", "name", "content"))
+
+
+def code_search(spark, folder):
+    hits = _code_hits(spark, folder).select("query_id", "rank", "id", "kind", F.round("score", 5).alias("score"), F.md5("content").alias("content_md5"))
+    return hits
+
+
+def code_prompt(spark, folder):
+    hits, asked = storage.written(_code_hits(spark, folder), "hits"), _code_questions(spark, folder)
+    typed = rendering.prompt(asked, hits, "typed").withColumn("style", F.lit("typed"))
+    return typed.unionByName(rendering.prompt(asked, hits, "numbered").withColumn("style", F.lit("numbered")))
 
 
 def write_diagram(spark, folder):
@@ -476,9 +523,20 @@ def run_stream_search(spark, folder):
     schema = documents.read_table(spark, folder, "conversations").schema
     turns = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(folder)
     asked = turns.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("query_id"), "text")
-    texts = _texts(spark, folder)
-    stream_search(asked, lambda batch: search.topk_text(batch, texts), f"{out}/hits", f"{out}/state").awaitTermination()
-    return _rounded(spark.read.parquet(f"{out}/hits").select("query_id", "rank", "id", "score"), "score")
+    index = search.text_index(_texts(spark, folder))
+    items = documents.read_table(spark, folder, "documents").select(
+        F.col("doc_id").alias("id"), F.col("lang").alias("kind"), F.col("text").alias("content")
+    )
+
+    def answer(batch):
+        asked = storage.written(batch, "asked")
+        hits = storage.written(search.search_text(asked, index), "hits")
+        prompts = rendering.prompt(asked, search.fetch_hits(hits, items), "numbered")
+        return hits.join(prompts, "query_id")
+
+    stream_search(asked, answer, f"{out}/hits", f"{out}/state").awaitTermination()
+    found = spark.read.parquet(f"{out}/hits")
+    return _rounded(found.select("query_id", "rank", "id", "score", F.md5("prompt").alias("prompt_md5")), "score")
 
 
 def incremental_index(spark, folder):
@@ -498,16 +556,15 @@ def hash_embed(spark, folder):
     return _rounded(cells.filter(F.col("x") != 0), "x")
 
 
-def _echo_best(prompts: list[str]) -> list[str]:
-    """A stand-in model: the digest of the first snippet quoted in the prompt."""
+def _digest_of(prompts: list[str]) -> list[str]:
+    """A stand-in model: the digest of the whole prompt."""
     import hashlib
 
-    first = [p.split("\nSnippet 1:\n", 1)[1].rsplit("\n\nBased on", 1)[0].split("\n\nSnippet 2:\n", 1)[0] for p in prompts]
-    return ["Best: " + hashlib.md5(t.encode()).hexdigest() for t in first]
+    return ["Seen: " + hashlib.md5(p.encode()).hexdigest() for p in prompts]
 
 
 def batch_generate(spark, folder):
-    return generation.generate(_prompts(spark, folder, "numbered"), _echo_best)
+    return generation.generate(_prompts(spark, folder, "numbered"), _digest_of)
 
 
 QUERIES: dict[str, Query] = {
@@ -516,6 +573,8 @@ QUERIES: dict[str, Query] = {
     "drop_empty_files": drop_empty_files,
     "corpus_fingerprint": corpus_fingerprint,
     "load_or_create_index": load_or_create_index,
+    "code_search": code_search,
+    "code_prompt": code_prompt,
     "read_documents": _documents,
     "write_diagram": write_diagram,
     "results_table": results_table,

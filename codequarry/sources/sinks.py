@@ -25,3 +25,22 @@ def write_diagram(lines: DataFrame, path: str, group: str, order: Sequence[str])
 
 def read_diagram(spark, path: str, group: str) -> DataFrame:
     return spark.read.text(path).select(F.col(group).cast("string").alias(group), F.col("value").alias("line"))
+
+
+def write_files(rows: DataFrame, root: str) -> None:
+    """Write ``name, bytes`` as one file per row below ``root``, by the tasks that hold them.
+
+    A task that runs again writes the same files again.
+    """
+    import pyarrow.fs as fs
+
+    base = root if "://" in root or root.startswith("file:") else f"file://{root}"
+
+    def write(part) -> None:
+        for row in part:
+            system, path = fs.FileSystem.from_uri(f"{base}/{row['name']}")
+            system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with system.open_output_stream(path) as f:
+                f.write(bytes(row["bytes"]))
+
+    rows.foreachPartition(write)

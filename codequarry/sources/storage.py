@@ -1,7 +1,9 @@
 """Where intermediate tables go.
 
-On a cluster that is the shared folder named by ``spark.checkpoint.dir``. Only where the
-setting is absent (local tests) a temporary folder takes its place.
+On a cluster that is the shared folder named by ``spark.checkpoint.dir``; without it nothing can be
+written that all executors see, so the call fails. Only a session on one machine (``local[...]``)
+falls back to a temporary folder. Folders carry a random name and stay until the job's owner clears
+the shared folder: a table that was handed out may be read at any time.
 """
 
 from __future__ import annotations
@@ -9,12 +11,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not (spark.conf.get("spark.master", None) or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="codequarry-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -33,7 +38,11 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(hadoop_path)
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None if nothing is there."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from codequarry.sources import files as S
@@ -45,6 +46,30 @@ def test_index_is_built_once_per_content(spark, tmp_path):
         assert len(built) == expected
     S.load_or_create(spark, df.withColumn("content", F.lit("abcd")), root, build)
     assert len(built) == 3
+    S.load_or_create(spark, df, root, build, version="2")
+    assert len(built) == 4
+
+
+def test_hidden_and_empty_files_are_found(spark, tmp_path):
+    names = ["A.java", "_B.java", ".C.java", ".git/D.java", "_x/y/E.java", "Größe $1.java"]
+    for n in names:
+        write(tmp_path, n, b"" if n == "A.java" else b"class X { }")
+    found = S.scan_files(spark, str(tmp_path)).collect()
+    assert len(found) == len(names) and sum(r.content == "" for r in found) == 1
+    assert S.list_files(spark, str(tmp_path / "_x" / "y")).count() == 1
+
+
+def test_no_shared_folder_on_a_cluster(monkeypatch):
+    from codequarry.sources import storage
+
+    class Conf(dict):
+        pass
+
+    class Session:
+        conf = Conf({"spark.master": "yarn"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_folder(Session())
 
 
 def test_changed_files(spark):
