@@ -9,7 +9,7 @@ import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.sources.storage import stored, written
+from codequarry.sources.storage import located, stored, written
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -21,7 +21,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
-                system, path = fs.FileSystem.from_uri(uri)
+                system, path = located(uri)
                 found = system.get_file_info(fs.FileSelector(path))
                 head = uri.removesuffix("/") + "/"
                 yield pa.RecordBatch.from_pydict({
@@ -52,7 +52,7 @@ def read_raw(spark: SparkSession, path: str, suffix: str = "java") -> DataFrame:
             for uri, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = None
                 if length < 1 << 31:
-                    system, name = fs.FileSystem.from_uri(uri)
+                    system, name = located(uri)
                     with system.open_input_stream(name) as f:
                         data = f.read()
                 yield pa.RecordBatch.from_pydict({"path": pa.array([uri], pa.string()), "bytes": pa.array([data], pa.binary())})

@@ -1,4 +1,4 @@
-"""Diagrams as text files."""
+"""Diagrams and other rows as files."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.sources.storage import located
+
 
 def write_diagram(lines: DataFrame, path: str, group: str, order: Sequence[str]) -> None:
     """One folder per ``group`` value; its part files in name order are the text.
@@ -32,13 +34,11 @@ def write_files(rows: DataFrame, root: str) -> None:
 
     A task that runs again writes the same files again.
     """
-    import pyarrow.fs as fs
-
     base = root if "://" in root or root.startswith("file:") else f"file://{root}"
 
     def write(part) -> None:
         for row in part:
-            system, path = fs.FileSystem.from_uri(f"{base}/{row['name']}")
+            system, path = located(f"{base}/{row['name']}")
             system.create_dir(path.rsplit("/", 1)[0], recursive=True)
             with system.open_output_stream(path) as f:
                 f.write(bytes(row["bytes"]))

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import quote
 
+import pyarrow.fs as fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +48,8 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
+
+
+def located(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a plain uri, and the path in it; any character may stand in a name."""
+    return fs.FileSystem.from_uri(quote(uri, safe="/:@"))
