@@ -109,6 +109,33 @@ def kmeans(k: int, steps: int = 5) -> list[str]:
     return out
 
 
+def corpus_kmeans(k: int = 3, steps: int = 5) -> list[str]:
+    """All sentences as one text: ``l<steps>(doc_id, sent_id, c)``."""
+    out = [
+        sents(),
+        toks(),
+        "tf AS MATERIALIZED (SELECT doc_id, sent_id, term, count(*) AS tf FROM toks GROUP BY ALL)",
+        "s AS MATERIALIZED (SELECT DISTINCT doc_id, sent_id FROM tf)",
+        "idf AS (SELECT term, ln((1 + (SELECT count(*) FROM s)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term)",
+        "w AS MATERIALIZED (SELECT doc_id, sent_id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id, sent_id)) AS w FROM tf JOIN idf USING (term))",
+        f"st AS (SELECT *, row_number() OVER (ORDER BY md5(doc_id || ':' || sent_id), doc_id, sent_id) - 1 AS c FROM s QUALIFY c < {k})",
+        "c0 AS MATERIALIZED (SELECT c, term, w FROM st JOIN w USING (doc_id, sent_id))",
+    ]
+    for j in range(steps + 1):
+        out.append(f"""l{j} AS MATERIALIZED (SELECT doc_id, sent_id, c FROM (
+  SELECT s.doc_id, s.sent_id, q.c, round(1 + q.q - 2 * coalesce(x.dot, 0), 9) AS d
+  FROM s CROSS JOIN (SELECT c, sum(w * w) AS q FROM c{j} GROUP BY c) q
+  LEFT JOIN (SELECT w.doc_id, w.sent_id, k.c, sum(w.w * k.w) AS dot FROM w JOIN c{j} k USING (term) GROUP BY ALL) x
+  ON x.doc_id = s.doc_id AND x.sent_id = s.sent_id AND x.c = q.c)
+  QUALIFY row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY d, c) = 1)""")
+        if j < steps:
+            out.append(f"""c{j + 1} AS MATERIALIZED (
+  SELECT l.c, w.term, sum(w.w) / any_value(m.n) AS w FROM l{j} l
+  JOIN (SELECT c, count(*) AS n FROM l{j} GROUP BY c) m USING (c) JOIN w USING (doc_id, sent_id) GROUP BY l.c, w.term
+  UNION ALL SELECT c.c, c.term, c.w FROM c{j} c ANTI JOIN l{j} l ON l.c = c.c)""")
+    return out
+
+
 def summary() -> list[str]:
     return [
         """ss AS (SELECT s.doc_id, s.sent_id, s.sentence, coalesce(x.score, 0) AS score,
@@ -500,6 +527,10 @@ FROM tscore GROUP BY ALL""",
         *weights(), *kmeans(3), body="SELECT doc_id, sent_id, CAST(c AS INTEGER) AS cluster FROM l5"
     )
 
+    out["kmeans_corpus"] = _with(
+        *corpus_kmeans(), body="SELECT doc_id, sent_id, CAST(c AS INTEGER) AS cluster FROM l5"
+    )
+
     # top-k
     out["topk_l2"] = _with(
         *vector_search(L2, "score", 5), body="SELECT query_id, rank, id, round(score, 5) AS score FROM hits"

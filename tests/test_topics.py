@@ -101,8 +101,7 @@ def test_diagrams(spark):
 
 
 def test_corpus_topics(docs):
-    rows = topics.corpus_topics(docs, 2, STOP, features=1 << 10).collect()
-    assert {r.cluster for r in rows} == {0, 1}
-    assert {r.doc_id for r in rows} == {1, 2, 3, 6}
-    same = {r.cluster for r in rows if r.doc_id == 3 and r.sent_id in (0, 1)}
-    assert len(same) == 1
+    found = [sorted(map(tuple, topics.corpus_topics(docs.repartition(n), 2, STOP).collect())) for n in (1, 8)]
+    assert found[0] == found[1]
+    assert {c for _, _, c in found[0]} == {0, 1} and {d for d, _, _ in found[0]} == {1, 2, 3, 6}
+    assert topics.corpus_topics(docs.limit(0), 2, STOP).count() == 0
