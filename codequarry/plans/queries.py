@@ -487,8 +487,17 @@ def extractive_summary(spark, folder):
     return topics.extractive_summary(_documents(spark, folder))
 
 
-def _points(spark, folder, k):
-    medoids = topics.cluster_medoid(_clustered(spark, folder, k))
+def _weights(spark, folder):
+    """Sentence weights that topics and summary share: split and counted once, written."""
+    return storage.written(tfidf.sentence_weights(_documents(spark, folder)), "sentence-weights")
+
+
+def _weighed(weights, k):
+    return topics.cluster_documents(weights.filter(F.col("term").isNotNull()).select("doc_id", "sent_id", "term", "w"), k)
+
+
+def _points(spark, folder, k, clustered=None):
+    medoids = topics.cluster_medoid(_clustered(spark, folder, k) if clustered is None else clustered)
     return topics.key_points(medoids, _documents(spark, folder))
 
 
@@ -496,20 +505,24 @@ def extract_key_points(spark, folder):
     return _points(spark, folder, 5)
 
 
-def _topics(spark, folder):
-    return topics.topics_and_key_sentences(_clustered(spark, folder, 3), _documents(spark, folder))
+def _topics_and_summary(spark, folder):
+    docs, weights = _documents(spark, folder), _weights(spark, folder)
+    return topics.topics_and_key_sentences(_weighed(weights, 3), docs), topics.extractive_summary(docs, weights=weights)
 
 
 def topics_and_key_sentences(spark, folder):
-    return _topics(spark, folder).join(extractive_summary(spark, folder), "doc_id")
+    found, summary = _topics_and_summary(spark, folder)
+    return found.join(summary, "doc_id")
 
 
 def mindmap(spark, folder):
-    return rendering.mindmap(_topics(spark, folder), extractive_summary(spark, folder))
+    return rendering.mindmap(*_topics_and_summary(spark, folder))
 
 
 def flowchart(spark, folder):
-    return rendering.flowchart(_points(spark, folder, 5), extractive_summary(spark, folder))
+    weights = _weights(spark, folder)
+    points = _points(spark, folder, 5, _weighed(weights, 5))
+    return rendering.flowchart(points, topics.extractive_summary(_documents(spark, folder), weights=weights))
 
 
 def sequence_diagram(spark, folder):
