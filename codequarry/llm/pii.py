@@ -15,7 +15,7 @@ terms are removed and the other terms are generalised.
 
 Everything is DataFrame work; positions are code points. A null text counts as empty and has no
 spans. Texts of any length are read whole: the patterns are linear in the text. Repeated rows all
-get the spans of their text.
+get the spans of their text; rows without an id get none.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from codequarry.llm.common import broadcast_if_small
+from codequarry.llm.common import BROADCAST_ROWS, broadcast_if_small
 from codequarry.sources.storage import written
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -76,9 +76,10 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def base_matches(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, kind, start, end, found, line: every valid match.
+    """row, doc_id, text_hash, kind, start, end, found, line: every valid match.
 
-    ``line`` is the rest of the match's line on both sides, up to the next match of its kind.
+    ``row`` numbers the rows of ``docs``. ``line`` is the rest of the match's line on both sides,
+    up to the next match of its kind.
     """
     text, each = F.col("text"), []
     for number, (kind, pattern) in enumerate(PATTERNS.items()):
@@ -100,7 +101,7 @@ def base_matches(docs: DataFrame) -> DataFrame:
     so_far = W.partitionBy("row", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("found")).over(so_far)
     rows = rows.withColumn("end", end).filter(valid(F.col("kind"), F.col("found")))
-    return rows.select(*KEY, "kind", (F.col("end") - F.length("found")).alias("start"), "end", "found", "line")
+    return rows.select("row", *KEY, "kind", (F.col("end") - F.length("found")).alias("start"), "end", "found", "line")
 
 
 def entity(kind: Column, found: Column) -> Column:
@@ -115,22 +116,22 @@ def _terms(text: str | Column) -> Column:
 
 def revealing_terms(docs: DataFrame, matches: DataFrame, threshold: float = 0.8, min_lines: int = 3) -> DataFrame:
     """term, disclosure: the terms that reveal some entity, with the highest value over entities."""
-    seen = matches.select("doc_id", entity(F.col("kind"), F.col("found")).alias("entity"), "line")
+    seen = matches.select("row", entity(F.col("kind"), F.col("found")).alias("entity"), "line")
     evidence = (
-        seen.groupBy("entity").agg(F.countDistinct("doc_id").alias("n_e"), F.countDistinct(F.xxhash64("line")).alias("n_lines"))
+        seen.groupBy("entity").agg(F.countDistinct("row").alias("n_e"), F.countDistinct(F.xxhash64("line")).alias("n_lines"))
         .filter((F.col("n_lines") >= min_lines) & (F.col("n_e") >= min_lines)).select("entity", "n_e")
     )
     joint = (
-        seen.join(evidence, "entity").select("entity", "n_e", "doc_id", F.xxhash64("line").alias("line"), F.explode(_terms("line")).alias("term"))
-        .groupBy("entity", "n_e", "term").agg(F.countDistinct("doc_id").alias("n_et"), F.countDistinct("line").alias("n_lines"))
+        seen.join(evidence, "entity").select("entity", "n_e", "row", F.xxhash64("line").alias("line"), F.explode(_terms("line")).alias("term"))
+        .groupBy("entity", "n_e", "term").agg(F.countDistinct("row").alias("n_et"), F.countDistinct("line").alias("n_lines"))
         .filter((F.col("n_lines") >= min_lines) & (F.col("n_et") >= min_lines))
     )
     joint = written(joint, "joint")
     candidates = written(joint.select("term").distinct(), "candidates")
-    total = _texts(docs).select("doc_id").distinct().count()
+    total = docs.count()
     in_docs = (
-        _texts(docs).select("doc_id", F.explode(_terms("text")).alias("term")).join(broadcast_if_small(candidates), "term")
-        .groupBy("term").agg(F.countDistinct("doc_id").alias("n_t"))
+        _texts(docs).select(F.explode(_terms("text")).alias("term")).join(broadcast_if_small(candidates), "term")
+        .groupBy("term").agg(F.count("*").alias("n_t"))
     )
     told = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
     content = F.log(F.lit(float(total)) / F.col("n_e"))
@@ -139,21 +140,26 @@ def revealing_terms(docs: DataFrame, matches: DataFrame, threshold: float = 0.8,
 
 
 def term_matches(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, text_hash, start, end, disclosure of every place where one of the (written) terms stands."""
+    """doc_id, text_hash, start, end, disclosure of every place where one of the (written) terms stands.
+
+    A text travels only where the terms are too many for a broadcast, and then once if it holds one.
+    """
     texts = _texts(docs)
-    held = texts.select(*KEY, F.explode(_terms("text")).alias("term")).join(broadcast_if_small(terms), "term")
-    holders = held.groupBy(*KEY).agg(F.collect_set("term").alias("terms"))
-    # only texts that hold a term are taken apart: all their words, by length alone
-    rows = texts.join(holders, KEY).withColumn("row", F.monotonically_increasing_id())
-    found = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
-    gaps = F.transform(F.split("text", TERM, -1), F.length)
-    rows = rows.select("row", *KEY, "terms", F.posexplode(F.arrays_zip(found.alias("word"), gaps.alias("gap"))).alias("i", "m"))
+    forms = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))).alias("form")
+    if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        held = texts.select(*KEY, "text", forms).withColumn("term", F.lower("form")).join(F.broadcast(terms), "term")
+    else:
+        pairs = texts.select(*KEY, forms).withColumn("term", F.lower("form")).join(terms, "term").distinct()
+        held = texts.join(pairs, KEY)
+    # a form is all letters; cut at it, the parts of the text tell where it stands
+    alone = F.concat(F.lit(r"(?<!\p{L})"), "form", F.lit(r"(?!\p{L})"))
+    gaps = F.transform(F.split("text", alone, F.lit(-1)), F.length)
+    rows = held.withColumn("row", F.monotonically_increasing_id()).select(
+        "row", *KEY, "disclosure", F.length("form").alias("size"), F.posexplode(F.slice(gaps, F.lit(1), F.size(gaps) - 1)).alias("i", "gap")
+    )
     so_far = W.partitionBy("row").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.select(
-        *KEY, F.lower("m.word").alias("term"), F.array_contains("terms", F.lower("m.word")).alias("told"), F.length("m.word").alias("size"),
-        F.sum(F.col("m.gap") + F.coalesce(F.length("m.word"), F.lit(0))).over(so_far).alias("end"),
-    ).filter("told")
-    return rows.join(broadcast_if_small(terms), "term").select(*KEY, (F.col("end") - F.col("size")).alias("start"), "end", "disclosure").distinct()
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far))
+    return rows.select(*KEY, (F.col("end") - F.col("size")).alias("start"), "end", "disclosure").distinct()
 
 
 def find_spans(docs: DataFrame, threshold: float = 0.8, min_lines: int = 3) -> DataFrame:

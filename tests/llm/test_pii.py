@@ -93,4 +93,5 @@ def test_repeated_rows_and_shuffle_join(spark, monkeypatch):
     want = sorted(map(tuple, pii.span_digest(docs, pii.find_spans(docs)).collect()))
     assert len(want) == len(rows)
     monkeypatch.setattr(pii, "broadcast_if_small", lambda df: df)
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, pii.span_digest(docs, pii.find_spans(docs)).collect())) == want
