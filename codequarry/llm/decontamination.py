@@ -11,7 +11,8 @@ phrase match. ``proximity`` asks for all terms within a span of words instead of
 All steps are DataFrame operations. Document and benchmark texts are split as whole texts; null
 and empty texts have no words. An item of fewer words than a window, but not none, is one window.
 Item ids may repeat: rows of the same id add their windows to it. Document ids that repeat share
-one set of postings, each of their rows gets the counts of its own text's words.
+one set of postings, each of their rows gets the counts of its own text's words; rows without an id
+have no postings and no hits.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ all others lose it, so no wording leaves the corpus altogether.
 
 Lines are compared without the spaces around them. Lines of fewer than ``min_words`` words are
 never boilerplate. A null site counts as a site of its own. Null texts stay null, empty ones
-empty. Repeated rows of an id are one holder with the same lines. A text that loses all its lines
+empty. Repeated rows of an id are one holder with the same lines; rows without an id keep all lines. A text that loses all its lines
 is empty; ``without_emptied`` drops such rows.
 """
 

@@ -1,35 +1,11 @@
 """Exact phrase and proximity matches against looking at every place."""
 
-import hashlib
 import random
-import re
 
 import pytest
 
 from codequarry.llm import decontamination as dc
-
-
-def split(text):
-    return re.findall(dc.WORD, (text or "").translate(str.maketrans(dc.UPPER, dc.LOWER)))
-
-
-def brute(docs, items, size):
-    windows = {}
-    for item, text in items:
-        w = split(text)
-        for i in range(max(1, len(w) - size + 1) if w else 0):
-            windows.setdefault(tuple(w[i:i + size]), set()).add(str(item))
-    out = []
-    for doc, text in docs:
-        w, hit, names = split(text), set(), set()
-        for n in {len(x) for x in windows}:
-            for i in range(len(w) - n + 1):
-                if tuple(w[i:i + n]) in windows:
-                    hit |= set(range(i, i + n))
-                    names |= windows[tuple(w[i:i + n])]
-        digest = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
-        out.append((doc, len(w), len(hit), len(names), digest, bool(hit) and 20 * len(hit) >= len(w)))
-    return sorted(out)
+from tests.llm import plain
 
 
 def corpus(seed):
@@ -50,14 +26,14 @@ def test_against_every_place(spark, seed, size):
     b = spark.createDataFrame(items, "item_id bigint, text string")
     got = dc.contamination(d, b, size)
     assert got.columns == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    assert sorted(map(tuple, got.collect())) == brute(docs, items, size)
+    assert sorted(map(tuple, got.collect())) == plain.contamination(docs, items, size)
 
 
 def test_shuffle_joins_and_empty_tables(spark, monkeypatch):
     docs, items = corpus(4)
     d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
     monkeypatch.setattr(dc, "broadcast_if_small", lambda df: df)
-    assert sorted(map(tuple, dc.contamination(d, b, 5).collect())) == brute(docs, items, 5)
+    assert sorted(map(tuple, dc.contamination(d, b, 5).collect())) == plain.contamination(docs, items, 5)
     assert dc.contamination(d.limit(0), b).count() == 0
     none = dc.contamination(d, b.limit(0)).collect()
     assert len(none) == len(docs) and not any(r.n_hit or r.contaminated for r in none)
@@ -74,7 +50,7 @@ def test_proximity(spark):
     want = set()
     for r in windows.collect():
         for doc, text in docs:
-            w = split(text)
+            w = plain.words(text)
             if any(set(r.terms) <= set(w[i:i + 6]) for i in range(len(w))):
                 want.add((doc, r.window_id))
     assert got == want and want

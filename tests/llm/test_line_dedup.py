@@ -1,31 +1,11 @@
 """Line dedup against counting every line's sites."""
 
 import random
-import re
-from collections import defaultdict
 
 import pytest
 
 from codequarry.llm import line_dedup
-
-
-def brute(rows, min_sites, min_words):
-    sites, first = defaultdict(set), {}
-    for i, t, s in rows:
-        for pos, line in enumerate((t or "").split("\n") if t is not None else []):
-            line = line.strip(" ")
-            if re.match(r"\S+" + r"(\s+\S+)" * (min_words - 1), line):
-                sites[line].add(s)
-                first[line] = min(first.get(line, (i, pos)), (i, pos))
-    out = []
-    for i, t, s in rows:
-        if t is None:
-            out.append((i, None, 0, 0))
-            continue
-        parts = t.split("\n")
-        gone = {p for p, x in enumerate(parts) if len(sites.get(x.strip(" "), ())) >= min_sites and first[x.strip(" ")] != (i, p)}
-        out.append((i, "\n".join(x for p, x in enumerate(parts) if p not in gone), len(parts), len(gone)))
-    return sorted(out, key=str)
+from tests.llm import plain
 
 
 @pytest.mark.parametrize("min_sites", [2, 3, 30])
@@ -42,7 +22,7 @@ def test_against_counts(spark, min_sites):
     cleaned = line_dedup.dedup_lines(docs, min_sites)
     assert cleaned.columns == ["doc_id", "text", "source", "removed", "hash_a", "n_lines", "n_removed"]
     got = sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in cleaned.collect()), key=str)
-    assert got == brute(rows, min_sites, 3)
+    assert got == plain.dedup_lines(rows, min_sites, 3)
     kept = {r.doc_id for r in line_dedup.without_emptied(cleaned).collect()}
     assert kept == {i for i, t, n, gone in got if not gone or t.strip()} and {400, 401, 402} <= kept
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
