@@ -32,10 +32,17 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches in slices, so that Python objects exist for a part of a batch only."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str
 ) -> DataFrame:
-    """Apply ``fn`` to Arrow batches as plain columns; ``fn`` is called per batch in a task.
+    """Apply ``fn`` to slices of Arrow batches as plain columns.
 
     The batches are bounded by ``spark.sql.execution.arrow.maxBytesPerBatch``; columns that
     ``fn`` leaves out of its result are dropped.
@@ -44,9 +51,7 @@ def map_batches(
     names = arrow.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches):
             got = fn({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
             arrays = [pa.array(got[n], type=arrow.field(n).type) for n in names]
             yield pa.RecordBatch.from_arrays(arrays, names=names)

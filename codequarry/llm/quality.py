@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import fold, map_batches
+from codequarry.llm.common import fold, map_batches, slices
 
 FEATURES = (
     "chars", "words", "letters", "upper", "digits", "punctuation", "marks", "symbols", "lines", "distinct_words",
@@ -198,7 +198,7 @@ def keep_good(docs: DataFrame, model: AdditiveModel, text_col: str = "text") ->
     def accepts(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.schema.names.index(text_col)
             x = [text_features(t or "") for t in batch.column(at).to_pylist()]
             if x:
