@@ -26,7 +26,9 @@ def write_diagram(lines: DataFrame, path: str, group: str, order: Sequence[str])
 
 
 def read_diagram(spark, path: str, group: str) -> DataFrame:
-    return spark.read.text(path).select(F.col(group).cast("string").alias(group), F.col("value").alias("line"))
+    """The lines back, with their group; the empty group has Spark's folder for missing values."""
+    name = F.coalesce(F.col(group).cast("string"), F.lit(""))
+    return spark.read.text(path).select(name.alias(group), F.col("value").alias("line"))
 
 
 def write_files(rows: DataFrame, root: str) -> None:
