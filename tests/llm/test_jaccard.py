@@ -6,35 +6,7 @@ import numpy as np
 import pytest
 
 from codequarry.llm import components, jaccard
-
-
-def shingles(text):
-    w = (text or "").encode().lower().split()
-    return {tuple(w[i:i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
-
-
-def groups(links, nodes):
-    label = {n: n for n in nodes}
-
-    def find(x):
-        while label[x] != x:
-            x = label[x]
-        return x
-
-    for x, y in links:
-        a, b = sorted((find(x), find(y)))
-        label[b] = a
-    return {n: find(n) for n in nodes}
-
-
-def brute(rows, percent=90):
-    sets = {i: shingles(t) for i, t in rows}
-    links = [
-        (x, y) for x in sets for y in sets
-        if x < y and sets[x] and sets[y] and 100 * len(sets[x] & sets[y]) >= percent * len(sets[x] | sets[y])
-    ]
-    label = groups(links, sets)
-    return {i: (len(sets[i]), label[i]) for i in sets}
+from tests.llm import plain
 
 
 def near_copies(draw, pool, start, n, words, edits):
@@ -74,16 +46,16 @@ def test_against_all_pairs(spark, monkeypatch, seed, blocks):
     docs = spark.createDataFrame([r + (5, "x") for r in rows], "doc_id bigint, text string, n_shingles int, key string")
     got = jaccard.similar_groups(docs)
     assert got.columns == ["doc_id", "n_shingles", "component_id"]
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == plain.similar(rows)
     kept = jaccard.keep_first(docs, got)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {c for _, c in brute(rows).values()}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {c for _, c in plain.similar(rows).values()}
 
 
 def test_other_threshold_and_shuffle_join(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "broadcast_if_small", lambda df: df)
     rows = corpus(3)[:200]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(docs, percent=70).collect()} == brute(rows, 70)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(docs, percent=70).collect()} == plain.similar(rows, 70)
 
 
 def test_empty_table_and_repeated_rows(spark):
@@ -98,10 +70,25 @@ def test_components_of_chains_and_stars(spark):
     links += [(draw.randint(400, 700), draw.randint(400, 700)) for _ in range(150)] + [(5, 5), (60, 0)]
     got = components.components(spark.createDataFrame(links, "x bigint, y bigint"))
     nodes = {n for l in links for n in l if l[0] != l[1]}
-    assert {r.node: r.component for r in got.collect()} == groups([l for l in links if l[0] != l[1]], nodes)
+    assert {r.node: r.component for r in got.collect()} == plain.components([l for l in links if l[0] != l[1]], nodes)
     assert components.components(spark.createDataFrame([], "x bigint, y bigint")).count() == 0
 
 
+def test_sketches_never_rule_out_a_link():
+    draw = np.random.default_rng(3)
+    for n in (1, 5, 100, 2040, 2100, 5000, 40_000):
+        for _ in range(20):
+            a = np.unique(draw.integers(0, 1 << 64, n, dtype=np.uint64))
+            common = a[: len(a) - draw.integers(0, max(1, n // 15))]
+            b = np.union1d(common, draw.integers(0, 1 << 64, draw.integers(0, max(1, n // 15)), dtype=np.uint64))
+            links = 100 * len(common) >= 90 * (len(a) + len(b) - len(common))
+            x, y = jaccard.sketch(a), jaccard.sketch(b)
+            near = [jaccard._close(p, len(s), q[None, :], np.array([len(t)]), 90)[0] for p, s, q, t in ((x, a, y, b), (y, b, x, a))]
+            assert near[0] == near[1] and (near[0] or not links)
+        stranger = np.unique(draw.integers(0, 1 << 64, n, dtype=np.uint64))
+        assert n < 100 or not jaccard._close(jaccard.sketch(a), len(a), jaccard.sketch(stranger)[None, :], np.array([len(stranger)]), 90)[0]
+
+
 def test_slot_counts_cover_all_tasks(spark):
     docs = spark.createDataFrame([(i, f"word{i % 7} next{i % 7} last{i % 7}") for i in range(70)], "doc_id bigint, text string").repartition(5)
     order = jaccard.slot_order(jaccard.describe(docs))
