@@ -40,9 +40,9 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
 
 
 def map_batches(
-    df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str
+    df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, finish: Callable[[], None] | None = None
 ) -> DataFrame:
-    """Apply ``fn`` to slices of Arrow batches as plain columns.
+    """Apply ``fn`` to slices of Arrow batches as plain columns; ``finish`` ends each task.
 
     The batches are bounded by ``spark.sql.execution.arrow.maxBytesPerBatch``; columns that
     ``fn`` leaves out of its result are dropped.
@@ -55,5 +55,7 @@ def map_batches(
             got = fn({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
             arrays = [pa.array(got[n], type=arrow.field(n).type) for n in names]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        if finish is not None:
+            finish()
 
     return df.mapInArrow(run, schema)
