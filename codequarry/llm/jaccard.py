@@ -100,7 +100,9 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def _folded_to(sketches: np.ndarray, buckets: int) -> np.ndarray:
-    """Rows of sketches with fewer buckets."""
+    """Rows of sketches with as many buckets or fewer."""
+    if sketches.shape[1] == buckets:
+        return sketches.astype(np.int16)
     return sketches.reshape(len(sketches), -1, buckets).sum(axis=1, dtype=np.int32)
 
 
