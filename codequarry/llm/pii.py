@@ -7,11 +7,15 @@ of entity and term is divided by the information content of the entity,
 
     disclosure(e, t) = log(n(e,t) N / (n(e) n(t))) / log(N / n(e)),
 
-1 when the term stands in no document but the entity's. Evidence is taken from the lines around an
-entity; it counts once per distinct line, so copies of a document give no evidence of their own.
-Terms at ``threshold`` or more, on ``min_lines`` distinct lines and in as many documents or more,
-become spans of kind ``term`` wherever they stand. ``sanitise`` writes texts in which base spans and fully revealing
-terms are removed and the other terms are generalised.
+1 when the term stands in no document but the entity's. All four counts are over whole documents,
+and a term is one outside of emails. Every entity is judged, however rare. So that terms are not
+taken for revealing which chance put there, each distinct line of an entity counts as one draw (so
+copies are no evidence of their own), and the number of the corpus's terms that would stand beside
+as many of the entity's lines by chance must be at most ``chance``. One line can only pass where
+the corpus has few terms for its documents; two lines do where a rare term stands beside both.
+Terms at ``threshold`` or more become spans of kind ``term`` wherever they stand. ``sanitise``
+writes texts in which base spans and fully revealing terms are removed and the other terms are
+generalised.
 
 Everything is DataFrame work; positions are code points. A null text counts as empty and has no
 spans. Texts of any length are read whole: the patterns are linear in the text. Repeated rows all
@@ -114,28 +118,50 @@ def _terms(text: str | Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0)))
 
 
-def revealing_terms(docs: DataFrame, matches: DataFrame, threshold: float = 0.8, min_lines: int = 3) -> DataFrame:
+def _outside(text: Column) -> Column:
+    """A text without its emails, the only protected values that hold letters."""
+    return F.when(text.contains(HINTS["email"]), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+
+
+def joint_counts(docs: DataFrame, matches: DataFrame) -> DataFrame:
+    """entity, term, n_et, k_et, n_e, k_e: documents, and distinct lines of the entity, with both and with the entity."""
+    seen = matches.select("row", "text_hash", entity(F.col("kind"), F.col("found")).alias("entity"), F.xxhash64("line").alias("line"))
+    held = seen.groupBy("text_hash", "entity", "row").agg(F.min("line").alias("line")).groupBy("text_hash", "entity")
+    held = written(held.agg(F.count("*").alias("n"), F.min("line").alias("line")), "entities")
+    whole = held.groupBy("entity", "line").agg(F.sum("n").alias("n")).groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("k_e"))
+    texts = _texts(docs).join(broadcast_if_small(held.select("text_hash").distinct()), "text_hash", "left_semi")
+    texts = texts.select("text_hash", _terms(_outside(F.col("text"))).alias("terms")).groupBy("text_hash").agg(F.first("terms").alias("terms"))
+    pairs = texts.join(held, "text_hash").select("entity", "line", "n", F.explode("terms").alias("term"))
+    joint = pairs.groupBy("entity", "term", "line").agg(F.sum("n").alias("n")).groupBy("entity", "term")
+    return joint.agg(F.sum("n").alias("n_et"), F.count("*").alias("k_et")).join(broadcast_if_small(whole), "entity")
+
+
+def expected(terms: Column, k_et: Column, k_e: Column, share: Column) -> Column:
+    """How many of ``terms`` terms, each on ``share`` of the documents, chance puts beside an entity that often (at most).
+
+    The Chernoff bound of k_et or more hits among k_e lines.
+    """
+    part = k_et / k_e
+    rest = F.when(part < 1, (1 - part) * F.log((1 - part) / (1 - share))).otherwise(F.lit(0.0))
+    return F.when(part > share, terms * F.exp(-k_e * (part * F.log(part / share) + rest))).otherwise(terms)
+
+
+def revealing_terms(docs: DataFrame, matches: DataFrame, threshold: float = 0.8, min_lines: int = 1, chance: float = 0.01) -> DataFrame:
     """term, disclosure: the terms that reveal some entity, with the highest value over entities."""
-    seen = matches.select("row", entity(F.col("kind"), F.col("found")).alias("entity"), "line")
-    evidence = (
-        seen.groupBy("entity").agg(F.countDistinct("row").alias("n_e"), F.countDistinct(F.xxhash64("line")).alias("n_lines"))
-        .filter((F.col("n_lines") >= min_lines) & (F.col("n_e") >= min_lines)).select("entity", "n_e")
-    )
-    joint = (
-        seen.join(evidence, "entity").select("entity", "n_e", "row", F.xxhash64("line").alias("line"), F.explode(_terms("line")).alias("term"))
-        .groupBy("entity", "n_e", "term").agg(F.countDistinct("row").alias("n_et"), F.countDistinct("line").alias("n_lines"))
-        .filter((F.col("n_lines") >= min_lines) & (F.col("n_et") >= min_lines))
-    )
-    joint = written(joint, "joint")
+    size = docs.select(F.count("*").alias("total")).first()["total"]
+    words = _texts(docs).select(F.explode(_terms(_outside(F.col("text")))).alias("term"))
+    known = float(words.select(F.approx_count_distinct("term", 0.02)).first()[0])
+    total = F.lit(float(size))
+    joint = joint_counts(docs, matches).filter(F.col("k_et") >= min_lines)
+    # a term stands in n_et documents at least: what could be chance even so is decided before it is counted
+    likely = expected(F.lit(known), F.col("k_et"), F.col("k_e"), F.col("n_et") / total) <= chance
+    joint = written(joint.filter(likely), "joint")
     candidates = written(joint.select("term").distinct(), "candidates")
-    total = docs.count()
-    in_docs = (
-        _texts(docs).select(F.explode(_terms("text")).alias("term")).join(broadcast_if_small(candidates), "term")
-        .groupBy("term").agg(F.count("*").alias("n_t"))
-    )
-    told = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
-    content = F.log(F.lit(float(total)) / F.col("n_e"))
-    measured = joint.join(in_docs, "term").withColumn("disclosure", F.when(content > 0, F.least(F.lit(1.0), told / content)).otherwise(F.lit(0.0)))
+    in_docs = words.join(broadcast_if_small(candidates), "term").groupBy("term").agg(F.count("*").alias("n_t"))
+    told = F.log(F.col("n_et") * total / (F.col("n_e") * F.col("n_t")))
+    content = F.log(total / F.col("n_e"))
+    measured = joint.join(in_docs, "term").filter(expected(F.lit(known), F.col("k_et"), F.col("k_e"), F.col("n_t") / total) <= chance)
+    measured = measured.withColumn("disclosure", F.when(content > 0, F.least(F.lit(1.0), told / content)).otherwise(F.lit(0.0)))
     return measured.groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= threshold)
 
 
@@ -162,7 +188,7 @@ def term_matches(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return rows.select(*KEY, (F.col("end") - F.col("size")).alias("start"), "end", "disclosure").distinct()
 
 
-def find_spans(docs: DataFrame, threshold: float = 0.8, min_lines: int = 3) -> DataFrame:
+def find_spans(docs: DataFrame, threshold: float = 0.8, min_lines: int = 1) -> DataFrame:
     """doc_id, text_hash, kind (place in KINDS), start, end, disclosure: all spans of all texts."""
     matches = written(base_matches(docs), "pii")
     spans = matches.select(*KEY, "kind", "start", "end", F.lit(1.0).alias("disclosure")).distinct()

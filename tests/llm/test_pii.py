@@ -95,3 +95,13 @@ def test_repeated_rows_and_shuffle_join(spark, monkeypatch):
     monkeypatch.setattr(pii, "broadcast_if_small", lambda df: df)
     monkeypatch.setattr(pii, "BROADCAST_ROWS", 0)
     assert sorted(map(tuple, pii.span_digest(docs, pii.find_spans(docs)).collect())) == want
+
+
+def test_entities_seen_twice_are_judged_over_whole_documents(spark):
+    rows = [(i, f"Plain weather in spring number {i}") for i in range(400)]
+    rows += [(500, "Write to pair@corp.com today\nabout Zyxwick"), (501, "Zyxwick\nhas pair@corp.com as address"), (502, "Qwertus has once@corp.com")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    terms = {r.term: r.disclosure for r in pii.revealing_terms(docs, pii.base_matches(docs)).collect()}
+    assert terms == {"zyxwick": 1.0}
+    found = {r.doc_id: r.spans for r in pii.span_digest(docs, pii.find_spans(docs)).collect()}
+    assert found[500] == "email:9:22,term:35:42" and found[501] == "term:0:7,email:12:25"
