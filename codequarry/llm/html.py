@@ -6,6 +6,10 @@ and is deleted in the second pass, with it what by tag, role or class name is a
 footer, sidebar, notice, advert, form, script, style or reader comment. Paragraphs, headings,
 quotes and list items inside the article are its own words and stay even if other pages repeat them.
 
+Asides, menus and footers that hold
+articles (teasers) go too unless they hold most of the page's text. Of what is left, the articles'
+text is the page's if it is the larger part, else that of main; else all of it is.
+
 The rest is given block by block. Null and empty html give empty text. Pages of any length are
 read whole; broken markup is read as browsers do: a new block ends an open paragraph, an end tag
 closes what is open inside its element, and what is never closed ends with the page. A url without
@@ -93,6 +97,8 @@ class Element:
 
 
 ARTICLE = frozenset(["article", "main"])
+#: Deleted even around articles: teasers of other pages.
+ASIDES = frozenset("nav aside footer menu dialog".split())
 
 
 class Page:
@@ -101,6 +107,7 @@ class Page:
     def __init__(self, source: str):
         self.blocks: list[tuple[str, Element]] = []
         self.elements: list[Element] = []
+        self.mass: dict[int, int] = {}
         self.here = Element("html", None, "")
         self.elements.append(self.here)
         self.text: list[str] = []
@@ -185,11 +192,21 @@ class Page:
                 up.article = True
                 up = up.parent
 
+    def lesser(self, e: Element) -> bool:
+        """Whether an element holds no more than half of the page's text; an unclosed one may hold it all."""
+        if not self.mass:
+            for text, holder in self.blocks:
+                up: Element | None = holder
+                while up is not None:
+                    self.mass[id(up)] = self.mass.get(id(up), 0) + len(text)
+                    up = up.parent
+        return 2 * self.mass.get(id(e), 0) <= self.mass.get(id(self.elements[0]), 0)
+
     def by_rule(self, e: Element) -> bool:
         """Whether tag, role or name alone say that this is not the article."""
         if e.tag in WHOLE:
             return e.tag == "article" and any(c in ("comment", "reply") for c in e.classes)
-        if e.article:
+        if e.article and not (e.tag in ASIDES and self.lesser(e)):
             return False
         if e.tag in DROPPED_TAGS or e.role in DROPPED_ROLES or any(n in DROPPED_NAMES for n in e.names):
             return True
@@ -203,7 +220,7 @@ class Page:
         }
 
     def main_text(self, templates: frozenset[int] | set[int]) -> str:
-        """The blocks outside deleted subtrees; those of articles if the page has any."""
+        """The blocks outside deleted subtrees; those of articles, or of main, if they are most of that text."""
         deleted: dict[int, bool] = {}
         kept: list[tuple[str, str]] = []
 
@@ -220,9 +237,11 @@ class Page:
             if not gone(e):
                 inside = next((t for t in ("article", "main") if e.tag == t or e.inside(frozenset([t]))), "")
                 kept.append((text, inside))
-        for scope in ("article", "main"):
-            if any(s == scope for _, s in kept):
-                return "\n".join(t for t, s in kept if s == scope)
+        left = sum(len(t) for t, _ in kept)
+        for scopes in (("article",), ("article", "main")):
+            chosen = [t for t, s in kept if s in scopes]
+            if 2 * sum(map(len, chosen)) > left:
+                return "\n".join(chosen)
         return "\n".join(t for t, _ in kept)
 
 
@@ -231,8 +250,8 @@ def host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def site_templates(pages: DataFrame, share: float = 0.3, least: int = 5) -> DataFrame:
-    """host, hash of the subtrees on ``least`` pages and ``share`` of the host's pages or more.
+def site_templates(pages: DataFrame, share: float = 0.3, least: int = 5, many: int = 1000) -> DataFrame:
+    """host, hash of the subtrees on ``least`` pages and ``share`` of the host's pages or more, or on ``many`` pages.
 
     Counts are summed in each task first, so a host with a third of all pages is no burden.
     """
@@ -247,13 +266,14 @@ def site_templates(pages: DataFrame, share: float = 0.3, least: int = 5) -> Data
     counted = written(counted.filter((F.col("count") >= least) | F.col("hash").isNull()), "subtrees")
     sizes = counted.filter(F.col("hash").isNull()).select("host", F.col("count").alias("pages"))
     found = counted.filter(F.col("hash").isNotNull()).join(sizes, "host")
-    return found.filter(F.col("count") >= F.col("pages") * share).select("host", "hash")
+    return found.filter((F.col("count") >= F.col("pages") * share) | (F.col("count") >= many)).select("host", "hash")
 
 
 def main_texts(pages: DataFrame, templates: DataFrame | None = None, salts: int = 64) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
-    The templates of a host travel as one array: at most average-subtrees-per-page / share hashes.
+    The templates of a host travel as one array: at most average-subtrees-per-page / share hashes,
+    and those on many pages.
     They are broadcast while all of them are few (counted); else pages meet them in a join on the
     host and a salt, which spreads a large host over ``salts`` tasks.
     """

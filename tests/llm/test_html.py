@@ -68,3 +68,24 @@ def test_texts_with_either_join(spark, monkeypatch, limit):
     assert text[3] == "Story 3" and text[15] == "Story 15\nRefrain"  # an article's own paragraphs stay
     assert (text[30], text[31], text[32]) == ("Lone", "", "") and len(text[33]) == 499_999
     assert html.main_texts(pages.limit(0)).count() == 0
+
+
+STORY = "<p>A long story that goes on and on for the whole page</p>"
+
+
+@pytest.mark.parametrize("source, want", [
+    (f"<main><h1>Title</h1>{STORY}</main><article>Teaser</article>", "Title\nA long story that goes on and on for the whole page\nTeaser"),
+    (f"<div>{STORY}</div><article>Teaser</article>", "A long story that goes on and on for the whole page\nTeaser"),
+    (f"<article>{STORY}</article><aside><article>Teaser</article></aside>", "A long story that goes on and on for the whole page"),
+    (f"<main>{STORY}<footer><article>Teaser</article></footer></main>", "A long story that goes on and on for the whole page"),
+    (f"<nav><a>Home</a><main>{STORY}</main>", "Home\nA long story that goes on and on for the whole page"),
+])
+def test_main_text_outside_of_articles(source, want):
+    assert set(want.split("\n")) - {"Teaser", "Home"} <= set(html.Page(source).main_text(set()).split("\n")) <= set(want.split("\n"))
+
+
+def test_templates_on_many_pages_of_a_large_host(spark):
+    rows = [(i, "http://big.example/", f"<div>Story {i}</div>" + "<div>Section notice</div>" * (i < 8)) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    text = {r.page_id: r.text for r in html.main_texts(pages, html.site_templates(pages, many=8)).collect()}
+    assert text[3] == "Story 3" and html.site_templates(pages).count() == 0
