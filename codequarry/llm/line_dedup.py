@@ -7,7 +7,7 @@ Of a boilerplate line the first holder (smallest id, then position) keeps its fi
 all others lose it, so no wording leaves the corpus altogether.
 
 Lines are compared without the spaces around them. Lines of fewer than ``min_words`` words are
-never boilerplate. A null site counts as a site of its own. Null texts stay null, empty ones
+never boilerplate; lines of more than ``long_words``, where that is given, are on ``long_sites`` sites. A null site counts as a site of its own. Null texts stay null, empty ones
 empty. Repeated rows of an id are one holder with the same lines; rows without an id keep all lines. A text that loses all its lines
 is empty; ``without_emptied`` drops such rows.
 """
@@ -27,15 +27,18 @@ def _split(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, site, pos, and the 128-bit hash of every line with enough words."""
+def lines(docs: DataFrame, min_words: int, min_sites: int = 3, long_words: int | None = None, long_sites: int = 2) -> DataFrame:
+    """doc_id, site, pos, the 128-bit hash of every line with enough words, and the sites that make it boilerplate."""
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("\0")).alias("site"),
         F.posexplode(_split(F.col("text"))).alias("pos", "line"),
     ).withColumn("line", F.trim("line"))
     enough = F.col("line").rlike(r"^\S+" + r"(\s+\S+)" * (min_words - 1)) if min_words else F.lit(True)
+    least = F.lit(min_sites)
+    if long_words is not None:
+        least = F.when(F.col("line").rlike(r"^\S++(?:\s++\S++){%d}" % long_words), F.lit(long_sites)).otherwise(least)
     return rows.filter(enough).select(
-        "doc_id", "site", "pos", F.xxhash64("line").alias("hash_a"), F.xxhash64("line", F.lit("second")).alias("hash_b")
+        "doc_id", "site", "pos", least.alias("least"), F.xxhash64("line").alias("hash_a"), F.xxhash64("line", F.lit("second")).alias("hash_b")
     )
 
 
@@ -44,29 +47,30 @@ def spread(found: DataFrame, log2_registers: int = 12) -> DataFrame:
     return found.groupBy(*KEY).agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(log2_registers))).alias("sites"),
         F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"),
+        F.first("least").alias("least"),
     )
 
 
-def boilerplate(docs: DataFrame, min_sites: int = 3, min_words: int = 3, log2_registers: int = 12) -> DataFrame:
-    """Hash and first holder of every line on ``min_sites`` sites or more."""
-    found = lines(docs, min_words)
+def boilerplate(
+    docs: DataFrame, min_sites: int = 3, min_words: int = 3, log2_registers: int = 12, long_words: int | None = None, long_sites: int = 2
+) -> DataFrame:
+    """Hash and first holder of every line on ``min_sites`` sites or more; ``long_sites`` for lines over ``long_words`` words."""
+    found, least = lines(docs, min_words, min_sites, long_words, long_sites), F.col("least")
     # a sketch of 2^12 registers is off by 1.6 % as a rule; four times that and one site more is near
-    margin = 1 + 4 * min_sites * 1.04 / (1 << log2_registers) ** 0.5
-    likely = written(
-        spread(found, log2_registers).filter((F.col("n") >= min_sites) & (F.col("sites") >= min_sites - margin)), "spread"
-    )
-    near = likely.filter(F.col("sites") <= min_sites + margin).select(*KEY)
+    margin = 1 + least * (4 * 1.04 / (1 << log2_registers) ** 0.5)
+    likely = written(spread(found, log2_registers).filter((F.col("n") >= least) & (F.col("sites") >= least - margin)), "spread")
+    near = likely.filter(F.col("sites") <= least + margin).select(*KEY)
     exact = (
-        found.select(*KEY, "site").join(broadcast_if_small(near), KEY, "left_semi")
-        .distinct().groupBy(*KEY).count().filter(F.col("count") >= min_sites).select(*KEY)
+        found.select(*KEY, "least", "site").join(broadcast_if_small(near), KEY, "left_semi")
+        .distinct().groupBy(*KEY, "least").count().filter(F.col("count") >= least).select(*KEY)
     )
-    sure = likely.filter(F.col("sites") > min_sites + margin)
+    sure = likely.filter(F.col("sites") > least + margin)
     return sure.unionByName(likely.join(exact, KEY, "left_semi")).select(*KEY, "first")
 
 
-def removed_lines(docs: DataFrame, min_sites: int = 3, min_words: int = 3) -> DataFrame:
+def removed_lines(docs: DataFrame, min_sites: int = 3, min_words: int = 3, long_words: int | None = None, long_sites: int = 2) -> DataFrame:
     """doc_id, removed: the places of the lines that a document loses."""
-    marked = written(boilerplate(docs, min_sites, min_words), "boilerplate")
+    marked = written(boilerplate(docs, min_sites, min_words, long_words=long_words, long_sites=long_sites), "boilerplate")
     later = F.struct("doc_id", "pos") != F.col("first")
     return (
         lines(docs, min_words).join(broadcast_if_small(marked), KEY).filter(later)
@@ -74,9 +78,9 @@ def removed_lines(docs: DataFrame, min_sites: int = 3, min_words: int = 3) -> Da
     )
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = 3, min_words: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int = 3, min_words: int = 3, long_words: int | None = None, long_sites: int = 2) -> DataFrame:
     """All columns of ``docs`` with ``text`` cleaned, and n_lines, n_removed beside them."""
-    places = removed_lines(docs, min_sites, min_words).select(F.col("doc_id").alias("_holder"), "removed")
+    places = removed_lines(docs, min_sites, min_words, long_words, long_sites).select(F.col("doc_id").alias("_holder"), "removed")
     rows = docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c not in ("doc_id", "source", "text")})
     kept = F.filter(_split(F.col("text")), lambda _, i: ~F.array_contains("removed", i))
     cleaned = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

@@ -35,3 +35,12 @@ def test_shuffle_join_gives_the_same(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "broadcast_if_small", lambda df: df)
     assert sorted(map(tuple, line_dedup.dedup_lines(docs).collect())) == want
     assert sum(r[-1] for r in want) == 39
+
+
+def test_long_lines_have_a_threshold_of_their_own(spark):
+    long, edge = "word " * 50 + "end", "word " * 49 + "end"
+    rows = [(i, f"{long}\n{edge}\nshort shared line\nown line {i}", f"s{i % 2}") for i in range(4)] + [(9, f"in site {long}\nx", "s0"), (10, f"in site {long}", "s0")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.dedup_lines(docs, long_words=50).collect()}
+    assert got[0] == (rows[0][1], 0) and got[3] == (f"{edge}\nshort shared line\nown line 3", 1)
+    assert got[9][1] == got[10][1] == 0 and all(r.n_removed == 0 for r in line_dedup.dedup_lines(docs).collect())
