@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codequarry.llm import decontamination, html, jaccard, langid, line_dedup, pieces, pii, quality, simhash, topk, whitening
+from codequarry.llm import conversations, decontamination, html, jaccard, langid, line_dedup, pieces, pii, quality, simhash, topk, whitening
 from codequarry.llm import token_counts as tokens
 from codequarry.llm.common import table
 from codequarry.sources.storage import written
@@ -59,6 +59,11 @@ def op10_pii(spark, folder):
     return pii.span_digest(docs, pii.find_spans(docs))
 
 
+def op11_conversation_repair(spark, folder):
+    talks = table(spark, folder, "conversations")
+    return conversations.repair(conversations.damaged(talks), talks)
+
+
 def op12_simhash_near_dedup(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"), distance=3, size=3)
 
@@ -78,6 +83,7 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_pii": op10_pii,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_simhash_near_dedup": op12_simhash_near_dedup,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
