@@ -425,6 +425,16 @@ def statements() -> dict[str, str]:
         body="""SELECT path, kind, name, md5(content) AS content_md5, cells
 FROM ix JOIN (SELECT id, count(*) AS cells FROM hx GROUP BY id) USING (id)""",
     )
+    out["apply_changes"] = over_corpus(
+        *CODE,
+        body="""SELECT path, kind, name, md5(content) AS content_md5, cells,
+  CASE WHEN path LIKE 'src/model/Nation%' THEN 4 WHEN path LIKE 'src/model/Customer%' OR path LIKE 'Größe%' THEN 1 ELSE 0 END AS since
+FROM ix JOIN (SELECT id, count(*) AS cells FROM hx GROUP BY id) USING (id)""",
+    )
+    out["stream_index"] = over_corpus(
+        *CODE,
+        body="""SELECT path, kind, name, md5(content) AS content_md5, CASE WHEN path LIKE 'src/model/%' THEN 1 ELSE 0 END AS since FROM ix""",
+    )
     out["code_search"] = over_corpus(
         *CODE_HITS, body="SELECT query_id, rank, id, kind, round(score, 5) AS score, md5(content) AS content_md5 FROM hits JOIN ix USING (id)"
     )

@@ -13,7 +13,8 @@ from codequarry.functions import vectors as vector_fn
 from codequarry.operators import (
     blocks, embedding, extraction, generation, graph, relations, rendering, search, tfidf, topics,
 )
-from codequarry.sources import corpus, documents, files as file_source, sinks, storage
+from codequarry.sources import corpus, documents, files as file_source, sinks, storage, versions
+from codequarry.streaming.index import follow_files
 from codequarry.streaming.search import stream_search
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -564,6 +565,42 @@ def incremental_index(spark, folder):
     return file_source.changed_files(old.unionByName(gone), new)
 
 
+def apply_changes(spark, folder):
+    """An index that goes through changed, added, removed and restored files, and a compaction."""
+    root, now = storage.new_folder(spark, "versions"), storage.written(_code(spark, folder), "files")
+    path, content = F.col("path"), F.col("content")
+    before = now.filter(~path.startswith("Größe")).select(
+        "path", F.when(path.startswith("src/model/Customer"), F.replace(content, F.lit("touch"), F.lit("poke"))).otherwise(content).alias("content")
+    )
+    gone = now.filter(path.startswith("src/model/Region")).select(F.replace("path", F.lit("model"), F.lit("old")).alias("path"), "content")
+    versions.create(spark, root, before.unionByName(gone), _build_index)
+    versions.apply_changes(spark, root, now, _build_index)
+    versions.apply_changes(spark, root, now.filter(~path.startswith("src/model/Nation")), _build_index)
+    versions.compact(spark, root)
+    versions.apply_changes(spark, root, now, _build_index)
+    cells = F.size(F.filter("embedding", lambda x: x != 0)).cast("bigint")
+    return versions.read(spark, root).select("path", "kind", "name", F.md5("content").alias("content_md5"), cells.alias("cells"), "since")
+
+
+def stream_index(spark, folder):
+    """The same index from a stream: files arrive in three batches, some twice, some to be removed;
+    the last batch is delivered again."""
+    root, out = storage.new_folder(spark, "stream-index"), storage.new_folder(spark, "arrivals")
+    now, path = storage.written(_code(spark, folder), "files"), F.col("path")
+    arrivals = [
+        now.select("path", F.when(path.startswith("src/model"), F.concat("content", F.lit("// old\n"))).otherwise(F.col("content")).alias("content")).unionByName(
+            now.filter(path.startswith("src/model/Region")).select(F.replace("path", F.lit("model"), F.lit("old")).alias("path"), "content")
+        ),
+        now.filter(path.startswith("src/model")).select("path", "content"),
+        now.filter(path.startswith("src/model/Region")).select(F.replace("path", F.lit("model"), F.lit("old")).alias("path"), F.lit(None).cast("string").alias("content")),
+    ]
+    for i, arrived in enumerate(arrivals):
+        arrived.write.parquet(f"{out}/{i}")
+        follow_files(spark, f"{out}/*", root, _build_index, f"{out}-state")
+    versions.apply_batch(spark, root, arrivals[-1], _build_index, len(arrivals) - 1)
+    return versions.read(spark, root).select("path", "kind", "name", F.md5("content").alias("content_md5"), "since")
+
+
 def hash_embed(spark, folder):
     cells = embedding.embed(_texts(spark, folder)).select("id", F.posexplode("embedding").alias("dim", "x"))
     return _rounded(cells.filter(F.col("x") != 0), "x")
@@ -654,6 +691,8 @@ QUERIES: dict[str, Query] = {
     "sequence_diagram": sequence_diagram,
     "stream_search": run_stream_search,
     "incremental_index": incremental_index,
+    "apply_changes": apply_changes,
+    "stream_index": stream_index,
     "hash_embed": hash_embed,
     "batch_generate": batch_generate,
 }
