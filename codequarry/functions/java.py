@@ -20,13 +20,19 @@ LEXEMES = (
     r"|[\s\S]"
 )
 
+# Words that no type and no variable can have as its name, so nothing after one is declared by it.
+RESERVED = MODIFIERS + CONTROL_WORDS + [
+    "package", "import", "class", "interface", "enum", "extends", "implements", "throws", "instanceof", "case", "assert",
+    "yield", "break", "continue", "do", "try", "finally", "super", "this", "null", "true", "false",
+]
+
 # Names as the language has them: any script, digits, _ and $.
 NAME = r"\p{javaJavaIdentifierStart}\p{javaJavaIdentifierPart}*+"
 DOTTED = rf"{NAME}(?:\.{NAME})*"
 _NO_PART = r"(?!\p{javaJavaIdentifierPart})"
 _MODS = "(?:" + "|".join(MODIFIERS) + ")" + _NO_PART
 _NOT_NAME = "(?!(?:" + "|".join(MODIFIERS + CONTROL_WORDS) + ")" + _NO_PART + ")"
-# Brackets are matched to this depth, far beyond what people nest.
+# Brackets are matched by patterns to this depth, and by counting beyond it.
 DEPTH = 40
 
 
@@ -42,6 +48,8 @@ def nested(left: str, right: str, depth: int = DEPTH) -> str:
 PACKAGE = rf"(?:^|[;\s])package\s+({DOTTED})\s*;"
 IMPORT = rf"(?:^|[;\s])import\s+({DOTTED})\s*;"
 UNIT = rf"^(package|import) ({DOTTED})$"
+# A token with the blanks before it; a dotted name is one token, blanks around its dots included.
+TOKEN = rf"\s*+(?:{NAME}(?:\s*+\.\s*+{NAME})*+|[0-9][\p{{javaJavaIdentifierPart}}.]*+|->|::|\.\.\.|&&|\|\||[\s\S])"
 CALL = rf"({NAME})\.({NAME})\("
 ANNOTATION = rf"@(?!interface{_NO_PART}){DOTTED}"
 # An annotation with its arguments; then other text.
@@ -82,22 +90,60 @@ def _blank(t: Column) -> Column:
     return F.repeat(F.lit(" "), F.length(t))
 
 
-def blank_hidden(code: Column) -> Column:
-    """Comments, literals and annotation arguments become blanks of the same length, so offsets hold."""
-    shown = F.array_join(
+def blank_literals(code: Column) -> Column:
+    """Comments and literals become blanks of the same length, so offsets hold."""
+    return F.array_join(
         F.transform(lexemes(code), lambda t: F.when(_is_comment(t) | _is_literal(t), _blank(t)).otherwise(t)), ""
     )
 
+
+def blank_hidden(code: Column) -> Column:
+    """Comments, literals and annotation arguments become blanks of the same length, so offsets hold."""
+    shown = blank_literals(code)
+
     def without_arguments(t: Column) -> Column:
         name = F.substring_index(t, "(", 1)
         return F.when(t.startswith("@") & t.contains("("), F.concat(name, F.repeat(F.lit(" "), F.length(t) - F.length(name)))).otherwise(t)
 
     parts = F.regexp_extract_all(shown, F.lit(ANNOTATED), F.lit(0))
-    return F.when(code.contains("@"), F.array_join(F.transform(parts, without_arguments), "")).otherwise(shown)
+    blanked = F.array_join(F.transform(parts, without_arguments), "")
+    # nothing but an annotation's own arguments can follow it in round brackets
+    deep = F.when(blanked.rlike(rf"{ANNOTATION}\s*+\("), blank_arguments(blanked)).otherwise(blanked)
+    return F.when(code.contains("@"), deep).otherwise(shown)
+
+
+def blank_arguments(code: Column) -> Column:
+    """Annotation arguments of any depth become blanks: brackets are counted from the annotation on."""
+    parts = F.regexp_extract_all(code, F.lit(rf"{ANNOTATION}\s*+\(|[()]|[^()@]++|@"), F.lit(0))
+    empty = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"))
+
+    def step(state: Column, part: Column) -> Column:
+        depth, opens = state["depth"], part.endswith("(") & (part.startswith("@") | (state["depth"] > 0))
+        name = F.substring_index(part, "(", 1)
+        shown = F.when(depth > 0, _blank(part)).when(opens, F.rpad(name, F.length(part), " ")).otherwise(part)
+        after = F.when(opens, depth + 1).when((depth > 0) & (part == ")"), depth - 1).otherwise(depth)
+        return F.struct(after.alias("depth"), F.concat(state["out"], F.array(shown)).alias("out"))
+
+    return F.array_join(F.aggregate(parts, empty, step)["out"], "")
+
+
+def without_brackets(text: Column, left: str, right: str) -> Column:
+    """Text without its balanced brackets and what is inside, at any depth; as it is if one stays open."""
+    parts = F.regexp_extract_all(text, F.lit(rf"[^{left}{right}]++|[{left}{right}]"), F.lit(0))
+
+    def step(state: Column, part: Column) -> Column:
+        depth = state["depth"]
+        after = F.when(part == left, depth + 1).when((part == right) & (depth > 0), depth - 1).otherwise(depth)
+        shown = F.when((depth > 0) & (after == 0), " ").when((depth > 0) | (after > 0), "").otherwise(part)
+        return F.struct(after.alias("depth"), F.concat(state["out"], shown).alias("out"))
+
+    done = F.aggregate(parts, F.struct(F.lit(0).alias("depth"), F.lit("").alias("out")), step)
+    return F.when(done["depth"] == 0, done["out"]).otherwise(text)
 
 
 def plain_header(header: Column) -> Column:
     """Header without annotations and type arguments."""
     out = F.when(header.contains("@"), F.regexp_replace(header, ANNOTATION, " ")).otherwise(header)
     out = F.when(out.contains("<"), F.regexp_replace(out, GENERIC, " ")).otherwise(out)
+    out = F.when(out.contains("<") & out.contains(">"), without_brackets(out, "<", ">")).otherwise(out)
     return F.trim(F.regexp_replace(out, r"\s+", " "))

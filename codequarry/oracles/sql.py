@@ -403,6 +403,97 @@ CODE_SHOWN = "SELECT query_id, rank, kind, content FROM hits JOIN ix USING (id)"
 
 # ---- all -------------------------------------------------------------------------------
 
+# ---- the shop files --------------------------------------------------------------------
+
+# (type, method, receiver, callee, type of the receiver, how it was found); None: not resolved
+SHOP_CALLS = [
+    ("Color", "paint", "brush", "draw", "Brush", "parameter"), ("Color", "paint", "this.brush", "dry", "Brush", "field"),
+    ("Pair", "sum", "left", "size", "Left", "parameter"), ("Pair", "sum", "right", "size", "Right", "parameter"),
+    ("Part{p}", "Part{p}", "owner", "home", "Owner", "parameter"), ("Part{p}", "Part{p}", "this", "run", "Part{p}", "this"),
+    ("Part{p}", "run", "home", "touch", "Guest", "parameter"), ("Part{p}", "run", "this.home", "touch", "Nation", "field"),
+    ("Part{p}", "run", "item", "pack", "Item", "parameter"), ("Part{p}", "run", "home", "first", "Guest", "parameter"),
+    ("Part{p}", "run", "c", "size", "Cursor", "parameter"), ("Part{p}", "run", "c", "next", "Cursor", "parameter"),
+    ("Part{p}", "run", "c", "use", "Cursor", "parameter"), ("Part{p}", "run", "star", "shine", "Star", "parameter"),
+    ("Part{p}", "run", "star", "late", "star", "name"),
+    ("Part{p}", "walk", "home", "touch", "Nation", "field"), ("Part{p}", "walk", "tool", "use", "Guest", "local"),
+    ("Part{p}", "walk", "this.tool", "use", "Tool{z}", "field"), ("Part{p}", "walk", "home", "light", "Lamp", "local"),
+    ("Part{p}", "walk", "home", "again", "Nation", "field"), ("Part{p}", "walk", "list", "forEach", "list", "name"),
+    ("Part{p}", "walk", "home", "turn", "Bolt", "parameter"), ("Part{p}", "walk", "own", "go", "Local{p}", "local"),
+    ("Part{p}", "walk", "in", "read", "Stream", "parameter"), ("Part{p}", "walk", "oops", "print", "Oops", "parameter"),
+    ("Part{p}", "walk", "Tool{z}", "touch", "Tool{z}", "name"), ("Part{p}", "walk", "a.b", "c", None, None),
+    ("Part{p}", "walk", "x", "run", "x", "name"), ("Part{p}", "walk", "lens", "look", "Lens", "field"),
+    ("Part{p}", "walk", "home", "touch", "Nation", "field"), ("Part{p}", "walk", "home", "one", "Nation", "field"),
+    ("Part{p}", "walk", "home", "two", "Nation", "field"),
+]
+# (kind, name, type, depth, kind and name of the parent, text from the body's brace or the arrow on; None: no body)
+SHOP_NODES = [
+    ("field", "home", "Nation", 1, "class", "Part{p}", None), ("field", "far", "Map", 1, "class", "Part{p}", None),
+    ("field", "tool", "Tool{z}", 1, "class", "Part{p}", None),
+    ("enum", "Color", None, 1, "class", "Part{p}", "{ RED, BLUE; Brush brush; void paint(Brush brush) { brush.draw(); this.brush.dry(); } }"),
+    ("field", "brush", "Brush", 2, "enum", "Color", None), ("method", "paint", None, 2, "enum", "Color", "{ brush.draw(); this.brush.dry(); }"),
+    ("record", "Pair", None, 1, "class", "Part{p}", "{ int sum() { return left.size() + right.size(); } }"),
+    ("method", "sum", None, 2, "record", "Pair", "{ return left.size() + right.size(); }"),
+    ("class", "Local{p}", None, 1, "class", "Part{p}", "{ }"),
+    ("constructor", "Part{p}", None, 1, "class", "Part{p}", "{ this.home = owner.home(); this.run(null); }"),
+    ("method", "run", None, 1, "class", "Part{p}", C.PART.split("throws Oops ", 1)[1].split("\n  }", 1)[0] + "\n  }"),
+    ("method", "walk", None, 1, "class", "Part{p}", C.PART.split("void walk() ", 1)[1].split("\n  }", 1)[0] + "\n  }"),
+    ("lambda", None, None, 2, "method", "walk", "-> { Lamp home = null; home.light(); }"), ("lambda", None, None, 3, None, None, None),
+    ("lambda", None, None, 2, "method", "walk", None), ("anonymous", "Thread", None, 2, "method", "walk", "{ Lens lens; void see() { lens.look(); home.touch(); } }"),
+    ("field", "lens", "Lens", 3, "anonymous", "Thread", None), ("method", "see", None, 3, "anonymous", "Thread", "{ lens.look(); home.touch(); }"),
+    ("class", "Part{p}", None, 0, None, None, "{" + C.PART.split("implements Visible {", 1)[1].rstrip("\n")),
+]
+SHOP_EDGES = [
+    ("extends", "shop.z{z}.Base{z}", "package"), ("implements", "Visible", "global"), ("associates", "tools.b.Tool{z}", "import"),
+    ("uses", "tools.b.Tool{z}", "import"), ("uses", "tools.b.Tool{z}", "import"), ("uses", "shop.z{z}.Part{p}.Local{p}", "file"),
+]
+
+
+def _filled(value: str | int | None, columns: dict[str, str]) -> str:
+    if value is None:
+        return "NULL"
+    return str(value) if isinstance(value, int) else C.sql_concat(value, columns).replace("STRING", "VARCHAR")
+
+
+def _part_rows(rows: list[tuple], names: list[str]) -> str:
+    """The rows for every part."""
+    def one(row: tuple) -> str:
+        return "SELECT " + ", ".join(f"{_filled(v, C.PART_COLUMNS)} AS {n}" for v, n in zip(row, names)) + " FROM part"
+
+    return "\nUNION ALL ".join(map(one, rows))
+
+
+def shop(out: dict[str, str]) -> None:
+    path, size = "src/shop/z{z}/Part{p}.java", {"z": "p_size"}
+    sizes = "(SELECT DISTINCT p_size FROM part) s"
+    fill = lambda t: _filled(t, size)
+    out["resolved_calls"] = _part_rows([(path, *c) for c in SHOP_CALLS], ["path", "caller_type", "caller_method", "receiver", "callee", "receiver_type", "how"])
+    columns = ["path", "kind", "name", "type", "depth", "parent_kind", "parent_name", "body"]
+    few = [  # (path, kind, name, type, depth, parent kind, parent name, body)
+        ("src/shop/z{z}/Base{z}.java", "class", "Base{z}", None, 0, None, None, "{ Tool{z} tool; }"),
+        ("src/shop/z{z}/Base{z}.java", "field", "tool", "Tool{z}", 1, "class", "Base{z}", None),
+        ("src/other/z{z}/Base{z}.java", "class", "Base{z}", None, 0, None, None, "{ }"),
+        ("src/tools/a/Tool{z}.java", "class", "Tool{z}", None, 0, None, None, "{ }"),
+        ("src/tools/b/Tool{z}.java", "class", "Tool{z}", None, 0, None, None, "{ void touch() { } }"),
+        ("src/tools/b/Tool{z}.java", "method", "touch", None, 1, "class", "Tool{z}", "{ }"),
+    ]
+    nodes = [_part_rows([(path, *n) for n in SHOP_NODES], columns)]
+    nodes += ["SELECT " + ", ".join(f"{_filled(v, size)} AS {n}" for v, n in zip(row, columns)) + f" FROM {sizes}" for row in few]
+    nodes.append("SELECT 'src/Visible.java', 'interface', 'Visible', NULL, 0, NULL, NULL, '{ }'")
+    out["syntax_nodes"] = f"""SELECT path, kind, name, type, CAST(depth AS INTEGER) AS depth, parent_kind, parent_name, CAST(length(body) AS INTEGER) AS size
+FROM ({" UNION ALL ".join(nodes)})"""
+    declared = [("shop.z{z}.Base{z}", "Base{z}", "src/shop/z{z}/Base{z}.java"), ("other.z{z}.Base{z}", "Base{z}", "src/other/z{z}/Base{z}.java"),
+                ("tools.a.Tool{z}", "Tool{z}", "src/tools/a/Tool{z}.java"), ("tools.b.Tool{z}", "Tool{z}", "src/tools/b/Tool{z}.java")]
+    part = [("Part{p}", "Part{p}", "class"), ("Part{p}.Color", "Color", "enum"), ("Part{p}.Pair", "Pair", "record"), ("Part{p}.Local{p}", "Local{p}", "class")]
+    rows = [_part_rows([("shop.z{z}." + q, n, k, path, 1) for q, n, k in part], ["qualified", "name", "kind", "path", "files"])]
+    rows += [f"SELECT {fill(q)}, {fill(n)}, 'class', {fill(p)}, 1 FROM {sizes}" for q, n, p in declared]
+    out["qualified_types"] = "SELECT qualified, name, kind, path, CAST(files AS BIGINT) AS files FROM (" + " UNION ALL ".join([*rows, "SELECT 'Visible', 'Visible', 'interface', 'src/Visible.java', 1"]) + ")"
+    edges = [_part_rows([("shop.z{z}.Part{p}", t, r, h) for r, t, h in SHOP_EDGES], ["source", "target", "relation", "how"])]
+    edges += [f"SELECT {fill(s)}, {fill(t)}, '{r}', '{h}' FROM {sizes}" for s, t, r, h in [
+        ("shop.z{z}.Base{z}", "tools.a.Tool{z}", "associates", "ambiguous"), ("other.z{z}.Base{z}", "Visible", "extends", "global"),
+        ("tools.b.Tool{z}", "other.z{z}.Base{z}", "extends", "ambiguous")]]
+    out["qualified_relations"] = " UNION ALL ".join(edges)
+
+
 def statements() -> dict[str, str]:
     common = ", ".join(f"'{t}'" for t in COMMON_TYPES)
     doc_files = "SELECT 'docs/' || doc_id AS path, text AS content FROM documents"
@@ -435,6 +526,7 @@ FROM ix JOIN (SELECT id, count(*) AS cells FROM hx GROUP BY id) USING (id)""",
         *CODE,
         body="""SELECT path, kind, name, md5(content) AS content_md5, CASE WHEN path LIKE 'src/model/%' THEN 1 ELSE 0 END AS since FROM ix""",
     )
+    shop(out)
     out["code_search"] = over_corpus(
         *CODE_HITS, body="SELECT query_id, rank, id, kind, round(score, 5) AS score, md5(content) AS content_md5 FROM hits JOIN ix USING (id)"
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from codequarry.functions import text as text_fn
 from codequarry.functions import vectors as vector_fn
 from codequarry.operators import (
-    blocks, embedding, extraction, generation, graph, relations, rendering, search, tfidf, topics,
+    blocks, embedding, extraction, generation, graph, names, relations, rendering, search, syntax, tfidf, topics,
 )
 from codequarry.sources import corpus, documents, files as file_source, sinks, storage, versions
 from codequarry.streaming.index import follow_files
@@ -252,6 +252,29 @@ def flatten_snippets(spark, folder):
     return extraction.flatten_snippets(nested)
 
 
+# ---- syntax: tokens, scopes, qualified names ---------------------------------------------
+
+def syntax_nodes(spark, folder):
+    return syntax.syntax_nodes(corpus.shop_files(spark, folder)).select("path", "kind", "name", "type", "depth", "parent_kind", "parent_name", F.expr("end - start").alias("size"))
+
+
+def resolved_calls(spark, folder):
+    return syntax.resolved_calls(corpus.shop_files(spark, folder)).drop("pos")
+
+
+def _shop_decls(spark, folder):
+    return storage.written(blocks.declarations(corpus.shop_files(spark, folder)), "declarations")
+
+
+def qualified_types(spark, folder):
+    return names.qualified_catalogue(names.qualified_types(_shop_decls(spark, folder)))
+
+
+def qualified_relations(spark, folder):
+    calls = storage.written(syntax.resolved_calls(corpus.shop_files(spark, folder)), "calls")
+    return names.qualified_relations(_shop_decls(spark, folder), calls).drop("path")
+
+
 # ---- joins -----------------------------------------------------------------------------
 
 def _known(decls):
@@ -644,6 +667,10 @@ QUERIES: dict[str, Query] = {
     "slice_span": slice_span,
     "filter_common_types": filter_common_types,
     "flatten_snippets": flatten_snippets,
+    "syntax_nodes": syntax_nodes,
+    "resolved_calls": resolved_calls,
+    "qualified_types": qualified_types,
+    "qualified_relations": qualified_relations,
     "associates_edges": associates_edges,
     "uses_edges": uses_edges,
     "fetch_hits": fetch_hits,

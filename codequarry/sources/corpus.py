@@ -132,6 +132,70 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey
 """
 
 
+#: Brackets nested so deep that only counting matches them.
+LEVELS = 43
+DEEP_TYPE = "A<" * LEVELS + "B" + ">" * LEVELS
+DEEP_ARGUMENT = "(" * LEVELS + "x = {1;}" + ")" * LEVELS
+PART = (
+    """\
+package shop.z{z};
+import tools.b.Tool{z};
+/* { home.ghost(); */
+public class Part{p} extends Base{z} implements Visible {
+  private Nation home;
+"""
+    + f"  Map<{DEEP_TYPE}, int[]> far;\n  @At({DEEP_ARGUMENT}) Tool{{z}} tool;\n"
+    + """\
+  enum Color { RED, BLUE; Brush brush; void paint(Brush brush) { brush.draw(); this.brush.dry(); } }
+  record Pair(Left left, Right<Left> right) { int sum() { return left.size() + right.size(); } }
+  class Local{p} { }
+  Part{p}(Owner owner) { this.home = owner.home(); this.run(null); }
+  <X> void run(final Guest home, int... n) throws Oops {
+    home.touch(); this.home.touch();
+    for (Item item : items()) { item.pack(); }
+    for (Cursor c = home.first(); n < c.size() && c > n; c.next()) c.use();
+    if (home instanceof Star star) { star.shine(); }
+    star.late();
+  }
+  void walk() {
+    home.touch(); Guest tool = new Guest(); tool.use(); this.tool.use();
+    Runnable r = () -> { Lamp home = null; home.light(); };
+    home.again(); list.forEach((Bolt home) -> home.turn());
+    var own = new Local{p}(); own.go();
+    try (Stream in = open()) { in.read(); } catch (Oops oops) { oops.print(); }
+    Tool{z}.touch(); helper().more(); a.b.c();
+    F<Part{p}, B> f = x -> x.run();
+    new Thread() { Lens lens; void see() { lens.look(); home.touch(); } };
+    switch (k) { case 1 -> home.one(); default -> home.two(); }
+  }
+}
+"""
+)
+PART_COLUMNS = {"p": "p_partkey", "z": "p_size"}
+SIZES = {
+    "src/shop/z{z}/Base{z}.java": "package shop.z{z};\npublic class Base{z} { Tool{z} tool; }\n",
+    "src/other/z{z}/Base{z}.java": "package other.z{z};\npublic class Base{z} extends Visible { }\n",
+    "src/tools/a/Tool{z}.java": "package tools.a;\npublic class Tool{z} { }\n",
+    "src/tools/b/Tool{z}.java": "package tools.b;\npublic class Tool{z} extends Base{z} { void touch() { } }\n",
+}
+VISIBLE = "public interface Visible { }\n"
+
+
+def shop_sql() -> str:
+    """``path, content``: files with shadowed names, types of one name in several packages and deep
+    brackets, over the table part."""
+    size = {"z": "p_size"}
+    rows = [f"SELECT {sql_concat('src/shop/z{z}/Part{p}.java', PART_COLUMNS)} AS path, {sql_concat(PART, PART_COLUMNS)} AS content FROM part"]
+    rows += [f"SELECT {sql_concat(p, size)}, {sql_concat(c, size)} FROM (SELECT DISTINCT p_size FROM part) s" for p, c in SIZES.items()]
+    return "\nUNION ALL\n".join([*rows, f"SELECT 'src/Visible.java', {sql_concat(VISIBLE, {})}"])
+
+
+def shop_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of ``shop_sql``."""
+    tables = {"part": read_table(spark, folder, "part")}
+    return spark.sql(_with_tables(shop_sql(), tables), **tables)
+
+
 def java_files(spark: SparkSession, folder: str) -> DataFrame:
     """The derived corpus as a ``files`` table."""
     tables = {
