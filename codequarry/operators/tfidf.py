@@ -102,19 +102,26 @@ def inverse_frequency(texts: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
+#: Words of an idf table up to which it is broadcast (their lengths checked too); a larger one is joined by a shuffle.
+WORDS, WORD_BYTES = 500_000, 32 << 20
+
+
 def unit_weights(
     counts: DataFrame, idf: DataFrame, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """``id, term, w`` with unit length per id; words without an idf are left out.
 
-    A word found in a large share of the texts is spread over many tasks. The norm needs
-    all words of a text together, hence the second placement, by ``id``.
+    A table of words within the bounds goes to the counts, which stay placed by ``id`` as
+    ``term_counts`` placed them; the norms need no shuffle then. Beyond them both sides are
+    shuffled by word, a word found in a large share of the texts is spread over many tasks, and
+    a second placement by ``id`` gives the norms.
     """
-    hot = idf.filter(F.col("df") >= hot_rows).select("term")
-    raw = salted_join(counts, idf.select("term", "idf"), "term", ["id"], hot).select(
-        "id", "term", (F.col("tf") * F.col("idf")).alias("raw")
-    )
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy("id")))
-    return place(raw, "id").withColumn("norm", norm).select(
-        "id", "term", (F.col("raw") / F.col("norm")).alias("w")
-    )
+    raw = (F.col("tf") * F.col("idf")).alias("raw")
+    size = idf.limit(WORDS + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length("term")).alias("bytes")).head()
+    if size.n <= WORDS and (size.bytes or 0) <= WORD_BYTES:
+        weighed = counts.join(F.broadcast(idf.select("term", "idf")), "term").select("id", "term", raw)
+    else:
+        hot = idf.filter(F.col("df") >= hot_rows).select("term")
+        weighed = place(salted_join(counts, idf.select("term", "idf"), "term", ["id"], hot).select("id", "term", raw), "id")
+    return weighed.withColumn("norm", norm).select("id", "term", (F.col("raw") / F.col("norm")).alias("w"))

@@ -124,6 +124,38 @@ def test_text_search_equals_brute_force(spark, text_tables, options):
     assert [(r.query_id, r.id) for r in misses] == [(13, None)]
 
 
+def test_text_search_in_small_steps_and_by_shuffles(spark, text_tables, monkeypatch):
+    from codequarry.operators import tfidf
+
+    queries, texts = text_tables
+    q = spark.createDataFrame(queries, "query_id long, text string")
+    t = spark.createDataFrame(texts, "id long, text string")
+    monkeypatch.setattr(tfidf, "WORDS", 3)
+    monkeypatch.setattr(search, "WORDS", 3)
+    monkeypatch.setattr(search, "BLOCK_BYTES", 2000)  # several blocks of queries and texts
+    assert got(search.topk_text(q, t, 5, stop_words=[], hot_rows=10)) == text_brute(queries, texts, 5)
+    assert search.topk_text(q.limit(0), t).count() == 0 and search.topk_text(q, t.limit(0)).count() == 0
+
+
+def test_products_in_steps(monkeypatch):
+    rng = np.random.default_rng(0)
+    a, b = rng.random((7, 9)) * (rng.random((7, 9)) < 0.5), rng.random((9, 4)) * (rng.random((9, 4)) < 0.5)
+    t, word = np.nonzero(a)
+    q_word, q = np.nonzero(b)
+    low, high = np.searchsorted(q_word, word, "left"), np.searchsorted(q_word, word, "right")
+    for cells in (1, 5, 1000):
+        monkeypatch.setattr(search, "CELLS", cells)
+        assert np.allclose(search._products(t, a[t, word], low, high - low, q, b[q_word, q], 7, 4), a @ b)
+
+
+def test_a_search_reads_only_the_folders_of_its_words(spark, text_tables):
+    _, texts = text_tables
+    index = search.text_index(spark.createDataFrame(texts, "id long, text string"), stop_words=[])
+    read = search.search_text(spark.createDataFrame([(1, "w3")], "query_id long, text string"), index, 5, stop_words=[])
+    assert read.count() == 5
+    assert "bucket" in index[1].columns and index[1].select("bucket").distinct().count() > 10
+
+
 def test_stream_gives_the_same_hits(spark, text_tables, tmp_path):
     queries, texts = text_tables
     source = tmp_path / "in"
