@@ -13,8 +13,11 @@ of the chain come from the N best of its parts: only the parts whose second path
 deviate within the first N.
 
 A merge vocabulary (its scores are ranks of merges) encodes by merging, and a sum of ranks does not
-find that segmentation. There the merge encoding comes first, whatever its sum, and the N - 1 best
-other paths follow it; elsewhere the best path is the model's own encoding.
+find that segmentation. Two neighbours are compatible if merging their joined text gives just these two;
+the only path whose neighbours all are is the model's own encoding. So there the lattice carries pairs:
+a path loses ``CROSSING`` for each border that merging would cross, which no sum of ranks makes up for.
+Viterbi and A-star run over its edges and deliver the model's encoding first, then the paths that merging
+would cross least. Elsewhere the best sum is the model's own encoding.
 
 Encoding is exact on whole texts: a mark stands for a space (a mark inside a text becomes one), one mark leads the text, other white
 space stays as it is, a character without a piece falls back to its bytes. Decoding gives the text
@@ -65,12 +68,13 @@ def part_pattern(pieces: Iterable[str]) -> re.Pattern:
     return re.compile((rf"{line}|" if line else "") + rf"{MARK}*+{other}*+{letter}++|{MARK}++{other}*+|{other}++")
 
 
-# Remembered parts per task; beyond it the memory is emptied and filled anew.
-REMEMBERED = 400_000
+# Remembered parts and pairs per Python worker, some 70 and 50 MB; beyond them the memory is emptied and filled anew.
+REMEMBERED, PAIRS = 200_000, 500_000
+# What a path loses for each border that merging would cross.
+CROSSING = 1e9
 Path = tuple[float, tuple[int, ...]]
-# Best score and pieces, what the second path loses, whether decoding all paths gives the part back,
-# score and pieces of the model's own encoding.
-Part = tuple[float, tuple[int, ...], float, bool, float, tuple[int, ...]]
+# Best score and pieces, what the second path loses, whether decoding all paths gives the part back.
+Part = tuple[float, tuple[int, ...], float, bool]
 
 
 class Pieces:
@@ -94,7 +98,9 @@ class Pieces:
         self.merges = len(set(real)) == len(real) and all(s == int(s) for s in real)
         self.trie = self._trie()
         self.cut = part_pattern(self.ids)
-        self.parts: dict[int, dict[str, Part]] = {}
+        self.parts: dict[tuple[int, bool], dict[str, Part]] = {}
+        self.crossed: dict[int, float] = {}
+        self.made: dict[int, float] = {}
         self.longest = max(map(len, self.ids))
 
     def _trie(self) -> dict:
@@ -206,29 +212,83 @@ class Pieces:
             at = end[at]
         return total, tuple(pieces)
 
+    def _crossing(self, left: int, right: int) -> float:
+        """What a path loses where ``right`` follows ``left`` (-1: the start): merging would join over the border, or never make ``right``."""
+        if len(self.crossed) >= PAIRS:
+            self.crossed.clear()
+        names, lost = self.names, self.made.get(right)
+        if lost is None:
+            lost = self.made[right] = 0.0 if self.merge(names[right])[1] == (right,) else CROSSING
+        if left >= 0 and self.merge(names[left] + names[right])[1] != (left, right):
+            lost += CROSSING
+        self.crossed[(left + 1) << 20 | right] = lost
+        return lost
+
+    def n_best_merged(self, text: str, n: int) -> list[Path]:
+        """(score, pieces) of the n best paths of one part, a score being the sum less the crossings.
+
+        A piece that the model rules out by a boundless penalty, but merging makes, costs ``floor`` here.
+        """
+        size, crossed, floor = len(text), self.crossed, self.floor
+        # an edge: best score of a path that ends with it, where it starts, its piece, the edges before it with the scores through them
+        ending: list[list[tuple]] = [[] for _ in range(size + 1)]
+        ending[0].append((0.0, 0, -1, ()))
+        for start in range(size):
+            here = ending[start]
+            for end, score, piece in self.edges(text, start):
+                if score < floor:
+                    score = floor
+                ways, top = [], -float("inf")
+                for edge in here:
+                    if piece < 0:
+                        through = edge[0] + score
+                    else:
+                        lost = crossed.get((edge[2] + 1) << 20 | piece)
+                        through = edge[0] + score - (self._crossing(edge[2], piece) if lost is None else lost)
+                    if through > top:
+                        top = through
+                    ways.append((through, edge))
+                ending[end].append((top, start, piece, ways))
+        best = max(e[0] for e in ending[size])
+        # Backward A-star as in ``n_best``, from edge to edge.
+        queue: list[tuple] = sorted((best - e[0], size, i, e, None) for i, e in enumerate(ending[size]))[:n]
+        found, order = [], len(ending[size])
+        while queue and len(found) < n:
+            loss, place, _, edge, behind = queue.pop(0)
+            if place == 0:
+                pieces: list[int] = []
+                while behind is not None:
+                    (_, start, piece, _), behind = behind
+                    pieces += (piece,) if piece >= 0 else self._bytes(text[start])
+                found.append((best - loss, tuple(pieces)))
+                continue
+            top, start, wanted = edge[0], edge[1], n - len(found)
+            for score, before in edge[3]:
+                lost = loss + (top - score)
+                if len(queue) < wanted or lost <= queue[-1][0]:
+                    order += 1
+                    insort(queue, (lost, start, order, before, (edge, behind)))
+                    del queue[wanted:]
+        return found
+
     def encode_own_first(self, text: str, n: int) -> list[Path]:
         """The model's own encoding of a whole text, and the n - 1 best other segmentations."""
-        parts = self.chain(text, n)
-        own = sum(p[4] for p in parts), tuple(chain.from_iterable(p[5] for p in parts))
-        return [own, *[f for f in self.encode_n_best(text, n) if f[1] != own[1]][:n - 1]]
+        return self.paths(text, n, True)[1]
 
-    def part(self, text: str, n: int) -> Part:
+    def part(self, text: str, n: int, own: bool) -> Part:
         """One part, searched and remembered."""
-        paths = self.n_best(text, n)
+        paths = self._search(text, n, own)
         loss = paths[0][0] - paths[1][0] if len(paths) > 1 else float("inf")
-        own = self.merge(text) if self.merges else paths[0]
-        known = (*paths[0], loss, all(self.raw(p) == text for _, p in [*paths, own]), *own)
+        known = (*paths[0], loss, all(self.raw(p) == text for _, p in paths))
         if len(text) <= 64:
-            parts = self.parts.setdefault(n, {})
+            parts = self.parts.setdefault((n, own), {})
             if len(parts) >= REMEMBERED:
                 parts.clear()
             parts[text] = known
         return known
 
-    def chain(self, text: str, n: int) -> list[Part]:
-        """The parts of a whole text."""
-        known, part = self.parts.setdefault(n, {}), self.part
-        return [known.get(p) or part(p, n) for p in self.cut.findall(self.marked(text))]
+    def _search(self, text: str, n: int, own: bool) -> list[Path]:
+        return self.n_best_merged(text, n) if own and self.merges else self.n_best(text, n)
 
     @staticmethod
     def marked(text: str) -> str:
@@ -239,12 +299,16 @@ class Pieces:
         return self.encode_n_best(text, 1)[0]
 
     def encode_n_best(self, text: str, n: int) -> list[Path]:
-        """The n best segmentations of a whole text."""
-        texts = self.cut.findall(self.marked(text))
-        parts = self.chain(text, n)
+        """The n best segmentations of a whole text, by the sums of their scores alone."""
+        return self.paths(text, n, False)[1]
+
+    def paths(self, text: str, n: int, own: bool) -> tuple[list[Part], list[Path]]:
+        """The parts of a whole text, and its n best segmentations."""
+        texts, known, part = self.cut.findall(self.marked(text)), self.parts.setdefault((n, own), {}), self.part
+        parts = [known.get(p) or part(p, n, own) for p in texts]
         # a part outside these deviates only after n - 1 cheaper single deviations
         loose = sorted(heapq.nsmallest(n - 1, range(len(parts)), key=lambda i: (parts[i][2], i))) if n > 1 else []
-        choices = {i: self.n_best(texts[i], n) for i in loose if parts[i][2] < float("inf")}
+        choices = {i: self._search(texts[i], n, own) for i in loose if parts[i][2] < float("inf")}
         # sums of one choice per loose part, best first: (score, which choice in each)
         kept: list[tuple[float, tuple[int, ...]]] = [(sum(map(itemgetter(0), parts)), ())]
         for paths in choices.values():
@@ -257,7 +321,7 @@ class Pieces:
             for i, k in zip(choices, chosen):
                 pieces[i] = choices[i][k][1]
             result.append((score, tuple(chain.from_iterable(pieces))))
-        return result
+        return parts, result
 
     def raw(self, pieces) -> str:
         """The marked text of pieces."""
@@ -298,7 +362,7 @@ def encode(docs: DataFrame, n: int = 2, tokenizer: str = "piece_bpe_32k.model",
         }
 
     schema = "doc_id bigint, pieces array<int>, score double, others array<struct<score: double, pieces: array<int>>>"
-    return map_batches(rows, run, schema, lambda: model(tokenizer).parts.clear())
+    return map_batches(rows, run, schema)
 
 
 def decode(encoded: DataFrame, tokenizer: str = "piece_bpe_32k.model") -> DataFrame:
@@ -321,21 +385,14 @@ def segmentation_digest(docs: DataFrame, n: int = 2, tokenizer: str = "piece_bpe
     def run(b):
         encoder, out = model(tokenizer), {c: [] for c in names}
         for i, text in zip(b["doc_id"], b["text"]):
-            parts = encoder.chain(text or "", n)
-            pieces = list(chain.from_iterable(map(itemgetter(5), parts)))
-            if n == 2:  # behind the model's own path the best one; if that is it, the one that deviates in the part that loses least
-                best, loss = sum(map(itemgetter(0), parts)), min(map(itemgetter(2), parts), default=float("inf"))
-                second = best - loss if all(p[1] == p[5] for p in parts) else best
-                scores = [sum(map(itemgetter(4), parts))] + [second] * (second > float("-inf"))
-            else:
-                scores = [s for s, _ in encoder.encode_own_first(text or "", n)]
+            parts, paths = encoder.paths(text or "", n, True)
+            pieces = np.array(paths[0][1], dtype=np.int32)
             whole = MARK not in (text or "") and all(map(itemgetter(3), parts))
-            row = (i, len(pieces), scores[0], len(scores), scores[1] if len(scores) > 1 else None, whole, crc32(np.array(pieces, dtype=np.int32).tobytes()))
+            row = (i, len(pieces), paths[0][0], len(paths), paths[1][0] if len(paths) > 1 else None, whole, crc32(pieces.tobytes()))
             for c, v in zip(names, row):
                 out[c].append(v)
         return out
 
     return map_batches(
         rows, run, "doc_id bigint, n_pieces bigint, score double, n_paths int, second_score double, round_trip boolean, pieces_crc bigint",
-        lambda: model(tokenizer).parts.clear(),
     )

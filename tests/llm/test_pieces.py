@@ -93,3 +93,32 @@ def test_first_path_is_the_library_encoding_of_whole_texts(spark, model):
         assert r.pieces == library.encode(texts[r.doc_id] or ""), texts[r.doc_id]
         assert (digest[r.doc_id].n_pieces, digest[r.doc_id].n_paths) == (len(r.pieces), 1 + len(r.others))
         assert all(o.pieces != r.pieces and abs(o.score - digest[r.doc_id].second_score) < 1e-6 * abs(o.score) for o in r.others)
+
+
+def test_paths_of_pairs_against_all_paths(model):
+    """Score of every path: the sum, less what merging would cross."""
+    draw = random.Random(11)
+
+    def crossings(text):
+        found = []
+
+        def go(at, score, ids, last):
+            if at == len(text):
+                found.append((score, tuple(ids)))
+                return
+            for end, s, piece in model.edges(text, at):
+                lost = 0.0
+                if piece >= 0:
+                    own = model.merge(model.names[piece])[1] == (piece,)
+                    joined = last < 0 or model.merge(model.names[last] + model.names[piece])[1] == (last, piece)
+                    lost = pieces.CROSSING * ((not own) + (not joined))
+                go(end, score + max(s, model.floor) - lost, ids + ([piece] if piece >= 0 else model._bytes(text[at])), piece)
+
+        go(0, 0.0, [], -1)
+        return sorted(found, reverse=True)
+
+    for _ in range(60):
+        text = "".join(draw.choice(BITS[:11]) for _ in range(draw.randint(1, 4)))
+        want, got = crossings(model.marked(text))[:5], model.encode_own_first(text, 5)
+        assert [round(s, 3) for s, _ in got] == [round(s, 3) for s, _ in want]
+        assert len({p for _, p in got}) == len(got) and got[0][1] == model.merge(model.marked(text))[1]
