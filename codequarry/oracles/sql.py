@@ -494,6 +494,55 @@ FROM ({" UNION ALL ".join(nodes)})"""
     out["qualified_relations"] = " UNION ALL ".join(edges)
 
 
+# ---- learned sentence borders ------------------------------------------------------------
+
+def sentence_model() -> str:
+    from codequarry.operators import sentences as S
+
+    opening, closing = _quoted(S.OPENING), _quoted(S.CLOSING)
+    part = lambda k, n, x: f"(CASE WHEN {k} > 0 THEN {k} * ln({x}) ELSE 0.0 END + CASE WHEN {n} - {k} > 0 THEN ({n} - {k}) * ln(1 - {x}) ELSE 0.0 END)"
+
+    def ratio(a: str, b: str, ab: str, n: str) -> str:
+        rate, with_a, without = f"({b} / {n})", f"({ab} / {a})", f"(({b} - {ab}) / ({n} - {a}))"
+        rest, others = f"({b} - {ab})", f"({n} - {a})"
+        return f"2 * ({part(ab, a, with_a)} + {part(rest, others, without)} - {part(ab, a, rate)} - {part(rest, others, rate)})"
+
+    special = lambda w, flag: f"({flag} OR {w} = '#' OR regexp_matches({w}, '^\\p{{L}}$'))"
+    return _with(
+        "cut AS (SELECT doc_id, unnest(l) AS raw, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[ \\t\\n\\x0B\\f\\r]*[^ \\t\\n\\x0B\\f\\r]+') AS l FROM documents))",
+        f"cored AS (SELECT *, rtrim(ltrim(trim(raw, {SPACES}), {opening}), {closing}) AS core FROM cut)",
+        """tk AS MATERIALIZED (SELECT *, lag(word) OVER r AS before, lag(mark) OVER r AS before_mark, lead(word) OVER r AS next, lead(up) OVER r AS next_upper FROM (
+  SELECT doc_id, pos, raw, CASE WHEN right(core, 1) IN ('.', '!', '?') THEN right(core, 1) ELSE '' END AS mark,
+    CASE WHEN regexp_matches(core, '^[0-9][0-9.,]*$') THEN '#' ELSE lower(rtrim(core, '.!?')) END AS word,
+    left(core, 1) = lower(left(core, 1)) AND left(core, 1) <> upper(left(core, 1)) AS low,
+    left(core, 1) <> lower(left(core, 1)) AND left(core, 1) = upper(left(core, 1)) AS up FROM cored)
+  WINDOW r AS (PARTITION BY doc_id ORDER BY pos))""",
+        """wd AS MATERIALIZED (SELECT word, count(*)::DOUBLE AS n, count(*) FILTER (WHERE mark = '.')::DOUBLE AS stopped,
+  count(*) FILTER (WHERE mark = '')::DOUBLE AS bare, count(*) FILTER (WHERE low) AS small FROM tk GROUP BY word)""",
+        "tot AS MATERIALIZED (SELECT sum(n) AS total, sum(stopped) / sum(n) AS rate FROM wd)",
+        f"""ab AS MATERIALIZED (SELECT word FROM (SELECT *, (length(word) - length(replace(word, '.', '')))::DOUBLE AS dots, length(replace(word, '.', ''))::DOUBLE AS letters FROM wd, tot)
+  WHERE stopped > 0 AND regexp_matches(word, '\\p{{L}}')
+  AND 2 * ({part('stopped', '(stopped + bare)', str(S.STOPPED))} - {part('stopped', '(stopped + bare)', 'rate')}) * exp(-letters) * (dots + 1) * pow(letters, -bare) >= {S.ABBREVIATION})""",
+        f"""fi AS MATERIALIZED (SELECT *, coalesce(before_mark = '.' AND NOT {special('before', 'bs')}, false) AS ends FROM (
+  SELECT tk.*, a.word IS NOT NULL AS short, b.word IS NOT NULL AS bs FROM tk LEFT JOIN ab a ON a.word = tk.word LEFT JOIN ab b ON b.word = tk.before))""",
+        """sd AS MATERIALIZED (SELECT word, wd.n, small, starts, inside FROM (
+  SELECT word, count(*) FILTER (WHERE ends)::DOUBLE AS starts, count(*) FILTER (WHERE up AND NOT (ends OR coalesce(before_mark IN ('!', '?'), true))) AS inside FROM fi GROUP BY word) JOIN wd USING (word))""",
+        "br AS MATERIALIZED (SELECT sum(starts) AS breaks FROM sd)",
+        f"""st AS MATERIALIZED (SELECT word FROM sd, tot, br WHERE starts > 0 AND breaks < total AND regexp_matches(word, '\\p{{L}}')
+  AND starts * total > breaks * n AND {ratio('breaks', 'n', 'starts', 'total')} >= {S.STARTER})""",
+        "onl AS MATERIALIZED (SELECT word FROM sd WHERE small > 0 AND inside = 0)",
+        f"""pr AS MATERIALIZED (SELECT m.word, m.next FROM (
+    SELECT word, next, count(*)::DOUBLE AS together FROM fi WHERE mark = '.' AND {special('word', 'short')} AND regexp_matches(next, '\\p{{L}}') GROUP BY ALL HAVING count(*) > 1) m
+  JOIN (SELECT word, n AS a FROM wd) x USING (word) JOIN (SELECT word AS next, n AS b FROM wd) y USING (next), tot
+  WHERE a < total AND together * total > a * b AND {ratio('a', 'b', 'least(together, a, b)', 'total')} >= {S.PAIR} AND m.next NOT IN (SELECT word FROM st))""",
+        f"""ds AS (SELECT f.doc_id, f.pos, raw, mark <> '' AND NOT (mark = '.' AND f.next IS NOT NULL AND {special('f.word', 'short')}
+    AND NOT coalesce(next_upper AND pr.word IS NULL AND (st.word IS NOT NULL OR onl.word IS NOT NULL), false)) AS cuts
+  FROM fi f LEFT JOIN pr ON pr.word = f.word AND pr.next = f.next LEFT JOIN st ON st.word = f.next LEFT JOIN onl ON onl.word = f.next)""",
+        "nu AS (SELECT *, coalesce(sum(CASE WHEN cuts THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent FROM ds)",
+        body=f"SELECT doc_id, CAST(sent AS INTEGER) AS sent_id, trim(string_agg(raw, '' ORDER BY pos), {SPACES}) AS sentence FROM nu GROUP BY doc_id, sent",
+    )
+
+
 def statements() -> dict[str, str]:
     common = ", ".join(f"'{t}'" for t in COMMON_TYPES)
     doc_files = "SELECT 'docs/' || doc_id AS path, text AS content FROM documents"
@@ -527,6 +576,7 @@ FROM ix JOIN (SELECT id, count(*) AS cells FROM hx GROUP BY id) USING (id)""",
         body="""SELECT path, kind, name, md5(content) AS content_md5, CASE WHEN path LIKE 'src/model/%' THEN 1 ELSE 0 END AS since FROM ix""",
     )
     shop(out)
+    out["sentence_model"] = sentence_model()
     out["code_search"] = over_corpus(
         *CODE_HITS, body="SELECT query_id, rank, id, kind, round(score, 5) AS score, md5(content) AS content_md5 FROM hits JOIN ix USING (id)"
     )

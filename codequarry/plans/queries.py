@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from codequarry.functions import text as text_fn
 from codequarry.functions import vectors as vector_fn
 from codequarry.operators import (
-    blocks, embedding, extraction, generation, graph, names, relations, rendering, search, syntax, tfidf, topics,
+    blocks, embedding, extraction, generation, graph, names, relations, rendering, search, sentences, syntax, tfidf,
+    topics,
 )
 from codequarry.sources import corpus, documents, files as file_source, sinks, storage, versions
 from codequarry.streaming.index import follow_files
@@ -454,6 +455,10 @@ def split_sentences(spark, folder):
     return tfidf.split_sentences(_documents(spark, folder)).select("doc_id", "sent_id", "sentence")
 
 
+def sentence_model(spark, folder):
+    return sentences.sentences(_documents(spark, folder))
+
+
 def tokenize(spark, folder):
     return tfidf.tokenize(tfidf.split_sentences(_documents(spark, folder))).select("doc_id", "sent_id", "term")
 
@@ -701,6 +706,7 @@ QUERIES: dict[str, Query] = {
     "code_graph": code_graph,
     "clean_label": clean_label,
     "split_sentences": split_sentences,
+    "sentence_model": sentence_model,
     "tokenize": tokenize,
     "l2_distance": partial(_to_label_mean, measure=vector_fn.l2_distance, name="d"),
     "cosine_similarity": partial(_to_label_mean, measure=vector_fn.cosine_similarity, name="c"),
