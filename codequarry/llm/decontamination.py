@@ -10,9 +10,9 @@ phrase match. ``proximity`` asks for all terms within a span of words instead of
 
 All steps are DataFrame operations. Document and benchmark texts are split as whole texts; null
 and empty texts have no words. An item of fewer words than a window, but not none, is one window.
-Item ids may repeat: rows of the same id add their windows to it. Document ids that repeat share
-one set of postings, each of their rows gets the counts of its own text's words; rows without an id
-have no postings and no hits.
+Item ids may repeat: rows of the same id add their windows to it. Documents are numbered by writing
+them, and postings and hits go by that number: rows whose id repeats, or is null, are judged each for
+itself.
 """
 
 from __future__ import annotations
@@ -55,9 +55,18 @@ def window_terms(windows: DataFrame, terms: DataFrame) -> DataFrame:
     return each.join(broadcast_if_small(terms), "term").drop("term")
 
 
-def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, pos, term_id: postings of the terms given (term, term_id), written to the shared folder."""
-    placed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.posexplode(words("text")).alias("pos", "term"))
+def numbered(docs: DataFrame) -> DataFrame:
+    """row, doc_id, text: the documents with a number for each row, fixed by writing them."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return written(rows, "numbered")
+
+
+def build_index(docs: DataFrame, terms: DataFrame, key: str = "doc_id") -> DataFrame:
+    """doc_id, pos, term_id: postings of the terms given (term, term_id), written to the shared folder.
+
+    ``key`` tells documents apart and becomes the index's doc_id.
+    """
+    placed = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.posexplode(words("text")).alias("pos", "term"))
     return written(placed.join(broadcast_if_small(terms), "term").select("doc_id", "pos", "term_id"), "postings")
 
 
@@ -131,21 +140,22 @@ def hit_words(matches: DataFrame) -> DataFrame:
     return ends.withColumn("fresh", F.greatest(F.lit(0), F.col("end") - fresh)).groupBy("doc_id").agg(F.sum("fresh").cast("bigint").alias("n_hit"))
 
 
-def matches(docs: DataFrame, items: DataFrame, size: int = 13) -> tuple[DataFrame, DataFrame]:
-    """The exact occurrences of all test windows, and the windows."""
+def matches(docs: DataFrame, items: DataFrame, size: int = 13, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The exact occurrences of all test windows, documents by their ``key``, and the windows."""
     windows = test_windows(items, size)
     terms = vocabulary(windows)
-    return phrase_matches(build_index(docs, terms), window_terms(windows, terms)), windows
+    return phrase_matches(build_index(docs, terms, key), window_terms(windows, terms)), windows
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 13, share: int = 20) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (a ``share``-th of the words is hit)."""
-    found, windows = matches(docs, items, size)
+    docs = numbered(docs)
+    found, windows = matches(docs, items, size, "row")
     found = written(found, "matches")
     pairs = found.select("doc_id", "window_id").distinct().join(broadcast_if_small(windows.select("window_id", F.explode("items").alias("item"))), "window_id")
     names = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    sizes = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.size(words("text")).cast("bigint").alias("n_words"))
-    rows = sizes.join(hit_words(found).join(names, "doc_id"), "doc_id", "left")
+    sizes = docs.select("row", "doc_id", F.size(words("text")).cast("bigint").alias("n_words"))
+    rows = sizes.join(hit_words(found).join(names, "doc_id").withColumnRenamed("doc_id", "row"), "row", "left")
     n_hit, listed = F.coalesce("n_hit", F.lit(0).cast("bigint")), F.coalesce("items", F.array().cast("array<string>"))
     return rows.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("bigint").alias("n_items"),

@@ -39,6 +39,15 @@ def test_shuffle_joins_and_empty_tables(spark, monkeypatch):
     assert len(none) == len(docs) and not any(r.n_hit or r.contaminated for r in none)
 
 
+def test_rows_are_judged_by_their_own_text(spark):
+    docs = [(1, "alpha gamma"), (1, "delta beta"), (None, "alpha beta"), (None, "beta"), (2, "alpha beta"), (2, "alpha beta"), (2, "alpha"), (None, None)]
+    d = spark.createDataFrame([(*r, 5) for r in docs], "doc_id bigint, text string, row int")
+    b = spark.createDataFrame([(1, "alpha beta")], "item_id bigint, text string")
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in dc.contamination(d, b, 13).collect()), key=str)
+    want = [(i, *((len((t or "").split()), 2, 1, True) if t == "alpha beta" else (len((t or "").split()), 0, 0, False))) for i, t in docs]
+    assert got == sorted(want, key=str)
+
+
 def test_proximity(spark):
     docs, items = corpus(5)
     docs = docs[:150]
