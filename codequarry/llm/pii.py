@@ -19,7 +19,7 @@ generalised.
 
 Everything is DataFrame work; positions are code points. A null text counts as empty and has no
 spans. Texts of any length are read whole: the patterns are linear in the text. Repeated rows all
-get the spans of their text; rows without an id get none.
+get the spans of their text, and so do rows without an id.
 """
 
 from __future__ import annotations
@@ -43,7 +43,8 @@ PATTERNS = {
 # A cheap test that every text with a match passes.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 TERM = r"\p{L}{3,}"
-KEY = ["doc_id", "text_hash"]
+# What tells texts apart: the id as text (empty for none) and the text's hash.
+KEY = ["doc_key", "text_hash"]
 
 
 def _digits(c: Column) -> Column:
@@ -76,11 +77,13 @@ def valid(kind: Column, found: Column) -> Column:
 
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    number = F.col("doc_id").cast("bigint")
+    key = F.coalesce(number.cast("string"), F.lit(""))
+    return docs.select(number.alias("doc_id"), text.alias("text"), key.alias("doc_key"), F.xxhash64(text).alias("text_hash"))
 
 
 def base_matches(docs: DataFrame) -> DataFrame:
-    """row, doc_id, text_hash, kind, start, end, found, line: every valid match.
+    """row, doc_key, text_hash, kind, start, end, found, line: every valid match.
 
     ``row`` numbers the rows of ``docs``. ``line`` is the rest of the match's line on both sides,
     up to the next match of its kind.
@@ -166,7 +169,7 @@ def revealing_terms(docs: DataFrame, matches: DataFrame, threshold: float = 0.8,
 
 
 def term_matches(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, text_hash, start, end, disclosure of every place where one of the (written) terms stands.
+    """doc_key, text_hash, start, end, disclosure of every place where one of the (written) terms stands.
 
     A text travels only where the terms are too many for a broadcast, and then once if it holds one.
     """
@@ -189,7 +192,7 @@ def term_matches(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def find_spans(docs: DataFrame, threshold: float = 0.8, min_lines: int = 1) -> DataFrame:
-    """doc_id, text_hash, kind (place in KINDS), start, end, disclosure: all spans of all texts."""
+    """doc_key, text_hash, kind (place in KINDS), start, end, disclosure: all spans of all texts."""
     matches = written(base_matches(docs), "pii")
     spans = matches.select(*KEY, "kind", "start", "end", F.lit(1.0).alias("disclosure")).distinct()
     terms = written(revealing_terms(docs, matches, threshold, min_lines), "terms")
@@ -211,7 +214,7 @@ def span_digest(docs: DataFrame, spans: DataFrame) -> DataFrame:
     grouped = spans.groupBy(*KEY).agg(
         *counts, _listed(F.collect_list(F.when(F.col("kind") < 4, each))).alias("base"), _listed(F.collect_list(each)).alias("spans")
     )
-    rows = _texts(docs).select(*KEY).join(grouped, KEY, "left")
+    rows = _texts(docs).select("doc_id", *KEY).join(grouped, KEY, "left")
     return rows.select(
         "doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("bigint").alias(f"n_{k}") for k in KINDS[:4]],
         F.sha2(F.coalesce("base", F.lit("")).cast("binary"), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"),

@@ -105,3 +105,11 @@ def test_entities_seen_twice_are_judged_over_whole_documents(spark):
     assert terms == {"zyxwick": 1.0}
     found = {r.doc_id: r.spans for r in pii.span_digest(docs, pii.find_spans(docs)).collect()}
     assert found[500] == "email:9:22,term:35:42" and found[501] == "term:0:7,email:12:25"
+
+
+def test_rows_without_an_id_and_ids_with_several_texts(spark):
+    rows = [(None, "mail a@b.cd"), (None, "at 1.2.3.4"), (None, "mail a@b.cd"), (1, "x@y.z"), (1, "+4912345678901"), (1, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.spans, r.n_email, r.n_ip, r.n_phone) for r in pii.span_digest(docs, pii.find_spans(docs)).collect()), key=str)
+    want = [(i, listed(brute(t)), *[sum(n == k for _, n, _ in brute(t)) for k in (0, 1, 3)]) for i, t in rows]
+    assert got == sorted(want, key=str)
