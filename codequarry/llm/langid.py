@@ -7,7 +7,8 @@ filter answers by mistake; the highest corrected share decides.
 
 Learning takes at most about ``sample_rows`` texts of each language, chosen by a hash of the id
 (documented bound). A language's filter holds the n-grams that make up ``min_share`` of its own or
-more, so at most 1 / min_share of them reach the driver. Up to 64 languages fit in a mask.
+more, so at most 1 / min_share of them reach the driver. A mask is as many 64-bit words as the
+languages need; up to 64 of them fit in one, which is then as narrow as it can be.
 
 A null text or one without a letter is ``und`` with score 0. A text without any known n-gram gets
 the most frequent language with score 0. Texts are read whole, whatever their length.
@@ -94,7 +95,8 @@ def gram_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
 
 @dataclass
 class LanguageFilters:
-    """Masks per slot, and per language the share of strangers that its filter lets pass."""
+    """Masks per slot (one row per word of the mask), and per language the share of strangers that
+    its filter lets pass."""
 
     languages: list[str]
     masks: np.ndarray
@@ -108,15 +110,21 @@ class LanguageFilters:
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
         step = (mixed >> np.uint64(32)) | np.uint64(1)
         for i in range(4):
-            yield ((mixed + np.uint64(i) * step) & np.uint64(len(self.masks) - 1)).astype(np.int64)
+            yield ((mixed + np.uint64(i) * step) & np.uint64(self.masks.shape[1] - 1)).astype(np.int64)
 
     def languages_of(self, keys: np.ndarray) -> np.ndarray:
-        """The mask of all languages that contain each n-gram."""
-        found = np.full(len(keys), -1, dtype=np.int64).astype(self.masks.dtype)
+        """The mask of all languages that contain each n-gram, one row per word of the mask."""
+        found = np.full((len(self.masks), len(keys)), -1, dtype=np.int64).astype(self.masks.dtype)
         for at in self.slots(keys):
-            found &= self.masks[at]
+            for word, mask in zip(found, self.masks):
+                word &= mask[at]
         return found
 
+    def place(self, language: int) -> tuple[int, np.generic]:
+        """The word and the bit in it of a language."""
+        word, bit = divmod(language, 8 * self.masks.dtype.itemsize)
+        return word, self.masks.dtype.type(bit)
+
     def shares(self, texts: list[str]) -> np.ndarray:
         """Per text and language the share of its n-grams that the language has, mistakes taken out."""
         keys, starts = grams(texts)
@@ -124,7 +132,8 @@ class LanguageFilters:
         one, total = self.masks.dtype.type(1), np.maximum(1, np.diff(starts))
         result = np.zeros((len(texts), len(self.languages)))
         for j in range(len(self.languages)):
-            hits = np.concatenate([[0], np.cumsum((found >> self.masks.dtype.type(j)) & one, dtype=np.int64)])
+            word, bit = self.place(j)
+            hits = np.concatenate([[0], np.cumsum((found[word] >> bit) & one, dtype=np.int64)])
             share = (hits[starts[1:]] - hits[starts[:-1]]) / total
             result[:, j] = np.maximum(0, (share - self.mistakes[j]) / (1 - self.mistakes[j]))
         return result
@@ -147,16 +156,19 @@ class LanguageFilters:
 def build_filters(counts: dict[str, np.ndarray], rows: dict[str, int]) -> LanguageFilters:
     """Filters from each language's n-grams; ``rows``: texts per language."""
     languages = sorted(counts)
-    kind = next(k for k, width in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= width)
+    kind = next((k for k, width in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(languages) <= width), np.uint64)
+    words = max(1, -(-len(languages) // (8 * np.dtype(kind).itemsize)))
     largest = max((len(c) for c in counts.values()), default=1)
     slots = 1 << max(10, int(np.ceil(np.log2(16 * max(1, largest)))))
     top = min(rows, key=lambda l: (-rows[l], l)) if rows else "und"
-    filters = LanguageFilters(languages, np.zeros(slots, dtype=kind), np.zeros(len(languages)), top)
+    filters = LanguageFilters(languages, np.zeros((words, slots), dtype=kind), np.zeros(len(languages)), top)
     for j, lang in enumerate(languages):
+        word, bit = filters.place(j)
         for at in filters.slots(counts[lang]):
-            filters.masks[at] |= kind(1 << j)
+            filters.masks[word, at] |= kind(1) << bit
     for j in range(len(languages)):
-        filters.mistakes[j] = float(((filters.masks >> kind(j)) & kind(1)).mean()) ** 4
+        word, bit = filters.place(j)
+        filters.mistakes[j] = float(((filters.masks[word] >> bit) & kind(1)).mean()) ** 4
     return filters
 
 
@@ -166,10 +178,9 @@ def learn(
 ) -> LanguageFilters:
     """Filters from the rows that have a language and are not held out."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col, 4) != 2))
-    rows = {r[0]: r[1] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(64).collect()}
-    share = F.lit(0.0)
-    for lang, n in rows.items():
-        share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, sample_rows / n))).otherwise(share)
+    rows = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
+    shares = [F.lit(v) for l, n in rows.items() for v in (l, min(1.0, sample_rows / n))]
+    share = F.element_at(F.create_map(*shares), F.col(lang_col)) if shares else F.lit(0.0)
     chance = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     counted = gram_counts(known.filter(chance < share), lang_col, text_col)
     whole = counted.groupBy("lang").agg(F.sum("n").alias("whole"))
