@@ -102,30 +102,33 @@ def top_k(
 
     Both inputs have (vec_id bigint, vector array<bigint>). Each pair of a block of queries and a
     block of candidates meets in one task, which passes on k rows a query; the rest is a ranking
-    of those. Block counts follow from the row counts, so tasks stay the same size.
+    of those. Block counts follow from the row counts, so tasks stay the same size. Equal query rows
+    count once; query rows of one id with different vectors are ranked each for itself.
     """
+    queries = queries.select("vec_id", "vector").distinct()
     n, q = candidates.count(), queries.count()
     n_blocks, q_blocks = max(1, -(-n // candidate_rows)), max(1, -(-q // query_rows))
     deal = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     everywhere = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = candidates.select(deal(n_blocks).alias("c"), everywhere(q_blocks).alias("q"), F.size("vector").alias("dims"), "vec_id", "vector")
-    right = queries.select(everywhere(n_blocks).alias("c"), deal(q_blocks).alias("q"), F.size("vector").alias("dims"), "vec_id", "vector")
+    right = queries.select(everywhere(n_blocks).alias("c"), deal(q_blocks).alias("q"), F.size("vector").alias("dims"), "vec_id", "vector", F.xxhash64("vector").alias("asked"))
 
     def meet(key, rows: pa.Table, asked: pa.Table) -> pa.Table:
-        query_id, vec_id, score = [], [], []
+        query_id, same, vec_id, score = [], [], [], []
         if rows.num_rows and asked.num_rows:
             dims = key[2].as_py()
             lists = SortedLists(rows.column("vec_id").to_numpy(), _matrix(rows, dims))
-            own_ids = asked.column("vec_id").to_numpy()
-            for own, (ids, scores) in zip(own_ids, lists.top(own_ids, _matrix(asked, dims), k)):
+            own_ids, vectors = asked.column("vec_id").to_numpy(), asked.column("asked").to_numpy()
+            for own, vector, (ids, scores) in zip(own_ids, vectors, lists.top(own_ids, _matrix(asked, dims), k)):
                 query_id.append(np.full(len(ids), own))
+                same.append(np.full(len(ids), vector))
                 vec_id.append(ids)
                 score.append(scores)
-        columns = [pa.array(np.concatenate(c) if c else np.empty(0, dtype=np.int64), type=pa.int64()) for c in (query_id, vec_id, score)]
-        return pa.table(columns, names=["query_id", "vec_id", "score"])
+        columns = [pa.array(np.concatenate(c) if c else np.empty(0, dtype=np.int64), type=pa.int64()) for c in (query_id, same, vec_id, score)]
+        return pa.table(columns, names=["query_id", "asked", "vec_id", "score"])
 
     found = left.groupBy("c", "q", "dims").cogroup(right.groupBy("c", "q", "dims")).applyInArrow(
-        meet, "query_id bigint, vec_id bigint, score bigint"
+        meet, "query_id bigint, asked bigint, vec_id bigint, score bigint"
     )
-    order = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    order = F.row_number().over(W.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", order).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

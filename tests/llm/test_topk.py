@@ -56,3 +56,13 @@ def test_spark_rows_with_odd_vectors(spark):
     want = brute(plain, [(r.vec_id, list(r.vector)) for r in asked.collect()], 10)
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
     assert topk.top_k(v.limit(0), asked).count() == 0 and topk.top_k(v, asked.limit(0)).count() == 0
+
+
+def test_repeated_query_rows(spark):
+    rows = [(100, [3, 1]), (100, [3, 1]), (1, [5, 0]), (2, [0, 5]), (3, [1, 1]), (4, [2, 2])]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, vector array<bigint>")
+    got = topk.top_k(vectors, vectors.filter("vec_id = 100"), k=3)
+    assert sorted(tuple(r) for r in got.collect()) == [(100, 1, 1, 15), (100, 2, 4, 8), (100, 3, 2, 5)]
+    two = spark.createDataFrame([(100, [3, 1]), (100, [0, 1])], "vec_id bigint, vector array<bigint>")
+    got = topk.top_k(vectors, two, k=1)
+    assert sorted(tuple(r) for r in got.collect()) == [(100, 1, 1, 15), (100, 1, 2, 5)]
