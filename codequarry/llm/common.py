@@ -24,6 +24,14 @@ def fold(column: str | Column, parts: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % parts, F.lit(0))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as it takes to clash with no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a table for broadcast when it has at most ``limit`` rows; else a shuffle join follows.
 

@@ -18,7 +18,7 @@ def _hang(edges: DataFrame, larger: bool) -> DataFrame:
     node, other = ("low", "high") if larger else ("high", "low")
     least = both.groupBy(F.col(node).alias("node")).agg(F.min(other).alias("least"))
     least = least.select("node", F.least("node", "least").alias("least"))
-    moved = both.select(F.col(node).alias("node"), F.col(other).alias("other")).join(least, "node")
+    moved = both.select(F.col(node).alias("node"), F.col(other).alias("other")).join(least.hint("merge"), "node")
     if larger:
         pairs = moved.filter(F.col("other") > F.col("node")).select("other", "least")
     else:
@@ -36,12 +36,12 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.select(F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high")).filter("low != high").distinct()
     edges = written(edges, "links")
     while True:
-        nearer = written(_hang(_hang(edges, True), False), "links")
+        edges = written(_hang(_hang(edges, True), False), "links")
         # settled when every node hangs on one node that itself hangs on nothing
-        one = nearer.groupBy("high").agg(F.count("*").alias("n")).filter("n > 1")
-        deep = nearer.join(nearer.select(F.col("high").alias("low")).distinct(), "low", "left_semi")
-        edges = nearer
-        if one.isEmpty() and deep.isEmpty():
+        hangs = edges.select(F.col("high").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        holds = edges.select(F.col("low").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+        seen = hangs.unionByName(holds).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if seen.filter("up > 1 OR (up = 1 AND down = 1)").isEmpty():
             break
     stars = edges.select(F.col("high").alias("node"), F.col("low").alias("component"))
     roots = edges.select(F.col("low").alias("node"), F.col("low").alias("component")).distinct()

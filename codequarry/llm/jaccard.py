@@ -25,7 +25,9 @@ members, by an inverted list of the ring's shingles, in blocks of bounded size:
 tasks. Only links that connect two components leave a task, so a group of copies or near copies
 never becomes pairs.
 
-Order of shingles: counts of 2^20 hash slots over all texts (4 MB, the only thing broadcast).
+Order of shingles: counts of 2^20 hash slots over all texts (4 MB, broadcast until the regions are
+written). Tables that grow with the input meet by merge joins at every size, so the driver holds
+none of them.
 A text without words, or null, has no shingles and links with nothing. A text with fewer words than
 a shingle has one shingle, all its words. Shingles are 64-bit hashes, sets are told apart by 128.
 Repeated rows of an id are one node, copies or not; a row without an id has the component of its
@@ -39,10 +41,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import broadcast_if_small, map_batches, slices
+from codequarry.llm.common import broadcast_if_small, free_name, map_batches, slices
 from codequarry.llm.components import components
 from codequarry.sources.storage import written
 
@@ -165,9 +168,8 @@ def slot_order(described: DataFrame) -> np.ndarray:
     return np.minimum(order, np.iinfo(np.uint32).max).astype(np.uint32)
 
 
-def regions(docs: DataFrame, order: np.ndarray, percent: int = 90, size: int = 3) -> DataFrame:
-    """key, member: the shingle regions of each class, by its smallest id; regions of one member are left out."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)
+def regions(docs: DataFrame, shared: Broadcast, percent: int = 90, size: int = 3) -> DataFrame:
+    """key, member: the shingle regions of each class, by its smallest id; ``shared`` holds the order of slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -194,7 +196,7 @@ def document_pivots(shingle_regions: DataFrame) -> DataFrame:
     """member, pivot: every member with the smallest member of each of its regions."""
     rows = written(shingle_regions, "regions")
     heads = rows.groupBy("key").agg(F.min("member").alias("pivot"), F.max("member").alias("last")).filter("pivot < last").select("key", "pivot")
-    return rows.join(heads, "key").filter("member != pivot").select("member", "pivot").distinct()
+    return rows.join(heads.hint("merge"), "key").filter("member != pivot").select("member", "pivot").distinct()
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, size: int = 3) -> DataFrame:
@@ -224,7 +226,7 @@ def _sketched(df: DataFrame, described: DataFrame, column: str, names: tuple[str
     known = described.filter(F.col("chunk").isNull()).select(
         F.col("doc_id").alias(column), F.col("n_shingles").alias(names[0]), F.col("counts").alias(names[1])
     )
-    return df.join(known, column)
+    return df.join(known.hint("merge"), column)
 
 
 def plausible(pairs: DataFrame, described: DataFrame, percent: int = 90) -> DataFrame:
@@ -242,7 +244,8 @@ def plausible(pairs: DataFrame, described: DataFrame, percent: int = 90) -> Data
 
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """member, pivot, common, total (sizes of intersection and union)."""
-    rows = pairs.join(sets, "member").join(sets.select(F.col("member").alias("pivot"), F.col("shingles").alias("others")), "pivot")
+    others = sets.select(F.col("member").alias("pivot"), F.col("shingles").alias("others"))
+    rows = pairs.join(sets.hint("merge"), "member").join(others.hint("merge"), "pivot")
 
     def measure(b):
         common, total = [], []
@@ -259,7 +262,7 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _labelled(regions: DataFrame, labels: DataFrame) -> DataFrame:
-    return regions.join(labels.select(F.col("node").alias("member"), "component"), "member", "left").withColumn(
+    return regions.join(labels.select(F.col("node").alias("member"), "component").hint("merge"), "member", "left").withColumn(
         "component", F.coalesce("component", "member")
     )
 
@@ -275,7 +278,7 @@ def _blocks(rows: DataFrame, key: list[str], payload: list[str], queries: int, m
         *key, "largest", F.ceil(F.col("n") / members).cast("int").alias("m_blocks"),
         F.ceil((F.col("n") - F.col("top")) / queries).cast("int").alias("q_blocks"),
     )
-    both = rows.join(plan, key)
+    both = rows.join(plan.hint("merge"), key)
     deal = lambda n: F.pmod(F.xxhash64("member"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["member", "component", *payload]
@@ -340,7 +343,7 @@ def rings(measured: DataFrame, pivots: DataFrame, labels: DataFrame, percent: in
     open_rings = rows.groupBy("pivot", "ring").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.max("home").alias("has_home")
     ).filter("low < high AND has_home").select("pivot", "ring")
-    return rows.join(open_rings, ["pivot", "ring"], "left_semi")
+    return rows.join(open_rings.hint("merge"), ["pivot", "ring"], "left_semi")
 
 
 def joined(asked: pa.Table, held: pa.Table, percent: int) -> list[tuple[int, int]]:
@@ -380,7 +383,7 @@ def joined(asked: pa.Table, held: pa.Table, percent: int) -> list[tuple[int, int
 def ring_links(open_rings: DataFrame, sets: DataFrame, percent: int = 90, queries: int = QUERIES, members: int = MEMBERS) -> DataFrame:
     """x, y: links across components, at most one less than the components of a block."""
     asked, held = _blocks(open_rings, ["pivot", "ring"], ["home"], queries, members)
-    asked, held = asked.join(sets, "member"), held.join(sets, "member")
+    asked, held = asked.join(sets.hint("merge"), "member"), held.join(sets.hint("merge"), "member")
     held = held.select([F.col(c).alias(c) for c in held.columns])
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -398,7 +401,9 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def similar_groups(docs: DataFrame, percent: int = 90, size: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per document."""
     described = describe(docs, size)
-    pairs = written(document_pivots(regions(docs, slot_order(described), percent, size)), "pairs")
+    shared = docs.sparkSession.sparkContext.broadcast(slot_order(described))
+    pairs = written(document_pivots(regions(docs, shared, percent, size)), "pairs")
+    shared.destroy()
     likely = written(plausible(pairs, described, percent), "plausible")
     measured = distances(likely, written(class_sets(docs, _ends(likely), size), "classes"))
     direct = measured.filter(F.col("common") * 100 >= F.col("total") * percent).select(F.col("member").alias("x"), F.col("pivot").alias("y"))
@@ -411,13 +416,14 @@ def similar_groups(docs: DataFrame, percent: int = 90, size: int = 3) -> DataFra
     labels = components(labels.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(across))
     rows = described.filter(F.col("chunk").isNull()).select("doc_id", "n_shingles", "set_a", "set_b")
     classes = rows.filter("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"))
-    classes = classes.join(labels, "node", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    named = rows.join(classes, ["set_a", "set_b", "n_shingles"], "left")
+    classes = classes.join(labels.hint("merge"), "node", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    named = rows.join(classes.hint("merge"), ["set_a", "set_b", "n_shingles"], "left")
     return named.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, all columns kept."""
     firsts = groups.filter((F.col("component_id") == F.col("doc_id")) | F.col("doc_id").isNull())
-    keep = firsts.select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(keep, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_first")), "left_semi")
+    first = free_name(docs, "first")
+    keep = firsts.select(F.col("doc_id").alias(first)).distinct()
+    return docs.join(keep, F.col("doc_id").cast("bigint").eqNullSafe(F.col(first)), "left_semi")

@@ -21,7 +21,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codequarry.llm.common import fold, map_batches, slices
+from codequarry.llm.common import broadcast_if_small, fold, map_batches, slices
+from codequarry.sources.storage import written
 
 FEATURES = (
     "chars", "words", "letters", "upper", "digits", "punctuation", "marks", "symbols", "lines", "distinct_words",
@@ -181,6 +182,15 @@ def fit(described: DataFrame, labels: DataFrame, sample_rows: int = 20_000, labe
     return fit_arrays(x, (np.array(sample.column("label").to_pylist(), dtype=float) > 0).astype(float))
 
 
+def fit_texts(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, label_col: str = "quality") -> AdditiveModel:
+    """Fit to the same sample of ``docs`` (doc_id, text), describing only the texts in it."""
+    named = labels.filter(F.col(label_col).isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
+    ids = docs.filter(fold("doc_id", 3) != 1).select(F.col("doc_id").cast("bigint").alias("doc_id")).join(named, "doc_id")
+    ids = written(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).distinct(), "sample")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(broadcast_if_small(ids), "doc_id")
+    return fit(features(rows), labels, sample_rows, label_col)
+
+
 def score(described: DataFrame, model: AdditiveModel) -> DataFrame:
     """doc_id, held_out, score, predicted for rows of (doc_id, features)."""
 

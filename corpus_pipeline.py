@@ -12,22 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.llm import decontamination, jaccard, line_dedup, pieces, quality
-from codequarry.llm.common import table
+from codequarry.llm.common import free_name, table
 from codequarry.sources.storage import written
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
-    described = quality.features(docs)
-    return quality.keep_good(docs, quality.fit(described, table(spark, sf_dir, "labels")))
+    return quality.keep_good(docs, quality.fit_texts(docs, table(spark, sf_dir, "labels")))
 
 
 def own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes lines that stand on many sites out of all documents but the first, and drops the
-    documents that had nothing else."""
-    kept = line_dedup.without_emptied(line_dedup.dedup_lines(docs))
-    size = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", size).select(docs.columns)
+    documents that had nothing else. ``n_chars`` follows the text where there is such a column."""
+    own = {c: free_name(docs, f"{c}_own") for c in docs.columns if c.lower() in ("n_lines", "n_removed")}
+    kept = line_dedup.without_emptied(line_dedup.dedup_lines(docs.withColumnsRenamed(own)))
+    if "n_chars" in docs.columns:
+        size = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        kept = kept.withColumn("n_chars", size)
+    return kept.drop("n_lines", "n_removed").withColumnsRenamed({new: c for c, new in own.items()}).select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,10 +38,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold benchmark passages."""
+    """Drops the documents that hold benchmark passages. Rows without an id stay; rows of one id go together."""
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    held = found.filter("contaminated").select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(held, F.col("doc_id").cast("bigint") == F.col("_held"), "left_anti")
+    name = free_name(docs, "held")
+    held = found.filter("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(held, F.col("doc_id").cast("bigint") == F.col(name), "left_anti")
 
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

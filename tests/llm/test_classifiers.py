@@ -108,3 +108,22 @@ def test_filters_return_every_language_of_a_gram():
 def test_grams_stay_inside_their_text():
     keys, starts = langid.grams(["ab", "", "1", "abc de", "x"])
     assert np.diff(starts).tolist() == [1, 0, 0, 5, 0] and len(keys) == 6
+
+
+def test_more_languages_than_a_word_of_bits(spark):
+    draw = random.Random(8)
+    words = {f"l{j:02}": ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for j in range(70)}
+    rows = [(i, " ".join(draw.choice(words[l]) for _ in range(20)), l) for i, l in enumerate(sorted(words) * 8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    filters = langid.learn(docs)
+    assert len(filters.languages) == 70 and filters.masks.shape[0] == 2
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, filters).collect()}
+    assert got == {i: l for i, _, l in rows}
+
+
+def test_fit_describes_the_sampled_texts_only(spark):
+    draw = random.Random(2)
+    docs = spark.createDataFrame([(i, " ".join(draw.choice(["good", "Words", "!!", "x1"]) for _ in range(i % 40))) for i in range(300)], "doc_id int, text string")
+    labels = spark.createDataFrame([(i, int(i % 40 > 20)) for i in range(0, 300, 2)] + [(None, 1), (4, None)], "doc_id bigint, quality int")
+    one, other = quality.fit(quality.features(docs), labels, 60), quality.fit_texts(docs, labels, 60)
+    assert one.start == other.start and all(np.array_equal(a, b) for a, b in zip(one.tables, other.tables))

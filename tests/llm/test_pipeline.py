@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from codequarry.llm import pieces, quality
@@ -74,3 +75,17 @@ def test_pieces_give_the_texts_back(spark, stages):
 def test_run_writes_and_rereads_every_stage(spark, stages):
     got = corpus_pipeline.run(spark, FOLDER)
     assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in stages[-1][1].collect())
+
+
+def test_stages_keep_clashing_and_missing_columns(spark):
+    rows = [(i, f"line one of {i}\nthe same old line", "s%d" % (i % 5), 7, 8, 9, 10) for i in range(10)]
+    rows += [(None, "no id at all", None, 7, 8, 9, 10), (20, None, "s1", 7, 8, 9, 10), (21, "", "s1", 7, 8, 9, 10), (3, rows[3][1], "s3", 7, 8, 9, 10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, first int, held int, n_lines int, n_removed int")
+    docs = docs.withColumnsRenamed({"first": "_first", "held": "_held"}).withColumn("held", F.lit(1)).withColumn("First", F.lit(2))
+    for table_of in (docs, docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, table_of, FOLDER)
+            assert got.columns == docs.columns
+            assert all(tuple(r)[3:] == (7, 8, 9, 10, 1, 2) for r in got.collect())
+    cleaned = {r.doc_id: r.text for r in corpus_pipeline.own_lines(spark, docs, FOLDER).collect()}
+    assert cleaned[0] == rows[0][1] and cleaned[9] == "line one of 9" and cleaned[20] is None and cleaned[None] == "no id at all"
