@@ -72,11 +72,19 @@ def part_pattern(pieces: Iterable[str]) -> re.Pattern:
 REMEMBERED, PAIRS = 200_000, 500_000
 # What a path loses for each border that merging would cross.
 CROSSING = 1e9
+NEVER = -float("inf")
+# Longest part, in characters, that is remembered.
+SHORT = 64
 Path = tuple[float, tuple[int, ...]]
 # Best score and pieces, what the second path loses, whether decoding all paths gives the part back.
 Part = tuple[float, tuple[int, ...], float, bool]
 
 
+def start_of_trail() -> tuple[str, list[list], list[list]]:
+    """A text, the lattice edges that end at each of its places, and the pieces that could still grow there."""
+    return "", [[(0.0, 0, -1, 0.0)]], [[]]
+
+
 class Pieces:
     """The pieces of a model, with segmentation and its inverse."""
 
@@ -102,6 +110,7 @@ class Pieces:
         self.crossed: dict[int, float] = {}
         self.made: dict[int, float] = {}
         self.longest = max(map(len, self.ids))
+        self.trail = start_of_trail()
 
     def _trie(self) -> dict:
         """Character -> (node below, piece that ends here or -1, its score)."""
@@ -229,28 +238,46 @@ class Pieces:
 
         A piece that the model rules out by a boundless penalty, but merging makes, costs ``floor`` here.
         """
-        size, crossed, floor = len(text), self.crossed, self.floor
-        # an edge: best score of a path that ends with it, where it starts, its piece, the edges before it with the scores through them
-        ending: list[list[tuple]] = [[] for _ in range(size + 1)]
-        ending[0].append((0.0, 0, -1, ()))
-        for start in range(size):
-            here = ending[start]
-            for end, score, piece in self.edges(text, start):
-                if score < floor:
-                    score = floor
-                ways, top = [], -float("inf")
-                for edge in here:
-                    if piece < 0:
-                        through = edge[0] + score
-                    else:
-                        lost = crossed.get((edge[2] + 1) << 20 | piece)
-                        through = edge[0] + score - (self._crossing(edge[2], piece) if lost is None else lost)
-                    if through > top:
-                        top = through
-                    ways.append((through, edge))
-                ending[end].append((top, start, piece, ways))
-        best = max(e[0] for e in ending[size])
-        # Backward A-star as in ``n_best``, from edge to edge.
+        size, crossed, crossing = len(text), self.crossed, self._crossing
+        root, floor, key = self.trie, self.floor, itemgetter(0)
+        # An edge: best score of a path that ends with it, where it starts, its piece, its own score. What ends
+        # up to a place depends on the text before it only, so the part before gives what it shares.
+        known, ending, growing = self.trail
+        at, shared = 0, min(size, len(known))
+        while at < shared and text[at] == known[at]:
+            at += 1
+        del ending[at + 1:], growing[at + 1:]
+        for place in range(at, size):
+            c, found, longer = text[place], [], []
+            # best first: an edge before whose score can't reach the best so far ends the look, as borders only cost
+            own = sorted(ending[place], key=key, reverse=True) if len(ending[place]) > 1 else ending[place]
+            for start, node, here in chain(growing[place], ((place, root, own),)):
+                hit = node.get(c)
+                if hit is None:
+                    continue
+                node, piece, score = hit
+                if node:
+                    longer.append((start, node, here))
+                if piece >= 0:
+                    top = NEVER
+                    for before in here:
+                        reach = before[0]
+                        if reach <= top:
+                            break
+                        lost = crossed.get(before[2] + 1 << 20 | piece)
+                        reach -= crossing(before[2], piece) if lost is None else lost
+                        if reach > top:
+                            top = reach
+                    if score < floor:
+                        score = floor
+                    found.append((top + score, start, piece, score))
+            if not found or found[-1][1] != place:  # no piece for the character itself: its bytes
+                found.append((own[0][0] + floor, place, -1, floor))
+            ending.append(found)
+            growing.append(longer)
+        self.trail = (text, ending, growing) if size <= SHORT else start_of_trail()
+        best = max(map(key, ending[size]))
+        # Backward A-star as in ``n_best``, from edge to edge; only edges on the way are asked for all before them.
         queue: list[tuple] = sorted((best - e[0], size, i, e, None) for i, e in enumerate(ending[size]))[:n]
         found, order = [], len(ending[size])
         while queue and len(found) < n:
@@ -262,13 +289,20 @@ class Pieces:
                     pieces += (piece,) if piece >= 0 else self._bytes(text[start])
                 found.append((best - loss, tuple(pieces)))
                 continue
-            top, start, wanted = edge[0], edge[1], n - len(found)
-            for score, before in edge[3]:
-                lost = loss + (top - score)
-                if len(queue) < wanted or lost <= queue[-1][0]:
-                    order += 1
-                    insort(queue, (lost, start, order, before, (edge, behind)))
-                    del queue[wanted:]
+            top, start, piece, score = edge
+            wanted = n - len(found)
+            for before in ending[start]:
+                lost = loss + (top - before[0] - score)
+                if len(queue) >= wanted and lost > queue[-1][0]:
+                    continue
+                if piece >= 0:
+                    border = crossed.get(before[2] + 1 << 20 | piece)
+                    lost += crossing(before[2], piece) if border is None else border
+                    if len(queue) >= wanted and lost > queue[-1][0]:
+                        continue
+                order += 1
+                insort(queue, (lost, start, order, before, (edge, behind)))
+                del queue[wanted:]
         return found
 
     def encode_own_first(self, text: str, n: int) -> list[Path]:
@@ -280,13 +314,20 @@ class Pieces:
         paths = self._search(text, n, own)
         loss = paths[0][0] - paths[1][0] if len(paths) > 1 else float("inf")
         known = (*paths[0], loss, all(self.raw(p) == text for _, p in paths))
-        if len(text) <= 64:
+        if len(text) <= SHORT:
             parts = self.parts.setdefault((n, own), {})
             if len(parts) >= REMEMBERED:
                 parts.clear()
             parts[text] = known
         return known
 
+    def remember(self, texts: Iterable[str | None], n: int, own: bool) -> None:
+        """Search the short parts of texts in order, so that each shares the lattice of its beginning with the one before."""
+        known = self.parts.setdefault((n, own), {})
+        parts = chain.from_iterable(self.cut.findall(self.marked(t or "")) for t in texts)
+        for part in sorted({p for p in parts if len(p) <= SHORT and p not in known}):
+            self.part(part, n, own)
+
     def _search(self, text: str, n: int, own: bool) -> list[Path]:
         return self.n_best_merged(text, n) if own and self.merges else self.n_best(text, n)
 
@@ -325,7 +366,7 @@ class Pieces:
 
     def raw(self, pieces) -> str:
         """The marked text of pieces."""
-        if not any(i in self.byte_of for i in pieces):
+        if self.byte_of.keys().isdisjoint(pieces):
             return "".join([self.names[i] for i in pieces])
         out, run = [], bytearray()
         for i in pieces:
@@ -355,7 +396,9 @@ def encode(docs: DataFrame, n: int = 2, tokenizer: str = "piece_bpe_32k.model",
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(b):
-        found = [model(tokenizer).encode_own_first(t or "", n) for t in b["text"]]
+        encoder = model(tokenizer)
+        encoder.remember(b["text"], n, True)
+        found = [encoder.encode_own_first(t or "", n) for t in b["text"]]
         return {
             "doc_id": b["doc_id"], "pieces": [f[0][1] for f in found], "score": [f[0][0] for f in found],
             "others": [[{"score": s, "pieces": p} for s, p in f[1:]] for f in found],
@@ -384,6 +427,7 @@ def segmentation_digest(docs: DataFrame, n: int = 2, tokenizer: str = "piece_bpe
 
     def run(b):
         encoder, out = model(tokenizer), {c: [] for c in names}
+        encoder.remember(b["text"], n, True)
         for i, text in zip(b["doc_id"], b["text"]):
             parts, paths = encoder.paths(text or "", n, True)
             pieces = np.array(paths[0][1], dtype=np.int32)

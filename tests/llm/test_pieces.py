@@ -122,3 +122,15 @@ def test_paths_of_pairs_against_all_paths(model):
         want, got = crossings(model.marked(text))[:5], model.encode_own_first(text, 5)
         assert [round(s, 3) for s, _ in got] == [round(s, 3) for s, _ in want]
         assert len({p for _, p in got}) == len(got) and got[0][1] == model.merge(model.marked(text))[1]
+
+
+def test_shared_beginnings_change_nothing():
+    draw, one = random.Random(12), pieces.Pieces(PATH)
+    words = ["".join(draw.choice("abestrnioé一") for _ in range(draw.randint(1, 12))) for _ in range(400)]
+    words += [w[:k] for w in words[:40] for k in range(1, len(w))] + ["x" * 70, "x" * 64, "x" * 71 + "y"]
+    one.remember([" ".join(words)], 3, True)
+    for w in words:
+        fresh = pieces.Pieces.__new__(pieces.Pieces)
+        fresh.__dict__.update(one.__dict__, trail=pieces.start_of_trail(), parts={})
+        part = pieces.MARK + w
+        assert one.n_best_merged(part, 3) == fresh.n_best_merged(part, 3) and fresh.n_best_merged(part, 1)[0][1] == one.merge(part)[1]
