@@ -48,9 +48,9 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
 
 
 def map_batches(
-    df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, finish: Callable[[], None] | None = None
+    df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, finish: Callable[[], None] | None = None, rows: int = 1000
 ) -> DataFrame:
-    """Apply ``fn`` to slices of Arrow batches as plain columns; ``finish`` ends each task.
+    """Apply ``fn`` to slices of Arrow batches, of ``rows`` rows, as plain columns; ``finish`` ends each task.
 
     The batches are bounded by ``spark.sql.execution.arrow.maxBytesPerBatch``; columns that
     ``fn`` leaves out of its result are dropped.
@@ -59,7 +59,7 @@ def map_batches(
     names = arrow.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, rows):
             got = fn({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
             arrays = [pa.array(got[n], type=arrow.field(n).type) for n in names]
             yield pa.RecordBatch.from_arrays(arrays, names=names)

@@ -73,6 +73,8 @@ REMEMBERED, PAIRS = 200_000, 500_000
 # What a path loses for each border that merging would cross.
 CROSSING = 1e9
 NEVER = -float("inf")
+# Texts whose segmentations a task holds at once.
+SLICE = 100
 # Longest part, in characters, that is remembered.
 SHORT = 64
 Path = tuple[float, tuple[int, ...]]
@@ -405,7 +407,7 @@ def encode(docs: DataFrame, n: int = 2, tokenizer: str = "piece_bpe_32k.model",
         }
 
     schema = "doc_id bigint, pieces array<int>, score double, others array<struct<score: double, pieces: array<int>>>"
-    return map_batches(rows, run, schema)
+    return map_batches(rows, run, schema, rows=SLICE)
 
 
 def decode(encoded: DataFrame, tokenizer: str = "piece_bpe_32k.model") -> DataFrame:
@@ -439,4 +441,5 @@ def segmentation_digest(docs: DataFrame, n: int = 2, tokenizer: str = "piece_bpe
 
     return map_batches(
         rows, run, "doc_id bigint, n_pieces bigint, score double, n_paths int, second_score double, round_trip boolean, pieces_crc bigint",
+        rows=SLICE,
     )
