@@ -34,6 +34,14 @@ def _stop_words() -> str:
     return ", ".join("'" + w.strip().replace("'", "''") + "'" for w in words if w.strip())
 
 
+def folder_tree(files: str) -> str:
+    """Every file and folder of a table of files, with the number of files below and the sum of their hashes."""
+    return f"""{files}_tree AS (SELECT CAST(i AS INT) AS level, array_to_string(parts[1:i], '/') AS path, i = len(parts) AS is_file,
+  count(*) AS n_files, CAST(sum(('0x' || substr(hash, 1, 12))::BIGINT) AS VARCHAR) AS digest
+FROM (SELECT string_split(path, '/') AS parts, md5(concat_ws('::', path, content_md5)) AS hash FROM {files}),
+  unnest(range(0, len(parts) + 1)) AS t(i) GROUP BY ALL)"""
+
+
 def _with(*ctes: str, body: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
@@ -793,6 +801,15 @@ FROM summ LEFT JOIN t USING (doc_id)""",
     out["incremental_index"] = """SELECT 'docs/' || d.doc_id AS path, CASE WHEN l.doc_id IS NULL THEN 'added' ELSE 'changed' END AS change
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL OR l.toxic = 1
 UNION ALL SELECT 'pages/' || page_id, 'removed' FROM pages"""
+    doc_path = "concat_ws('/', 'docs', source, lang, CAST(doc_id AS VARCHAR))"
+    now = f"now AS (SELECT {doc_path} AS path, md5(text) AS content_md5 FROM documents)"
+    before = f"""before AS (SELECT {doc_path} AS path, md5(CASE WHEN toxic = 1 THEN text || ' ' ELSE text END) AS content_md5
+FROM documents JOIN labels USING (doc_id) UNION ALL SELECT 'pages/' || page_id, md5(html) FROM pages)"""
+    out["folder_digests"] = _with(now, folder_tree("now"), body="SELECT level, path, n_files, digest FROM now_tree WHERE NOT is_file")
+    out["changed_folders"] = _with(now, before, folder_tree("now"), folder_tree("before"), body="""SELECT level, path, is_file,
+  CASE WHEN b.digest IS NULL THEN 'added' WHEN n.digest IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM before_tree b FULL JOIN now_tree n USING (level, path, is_file)
+WHERE (b.n_files, b.digest) IS DISTINCT FROM (n.n_files, n.digest)""")
     out["hash_embed"] = _with(
         hashed("h", "SELECT doc_id AS id, text FROM documents"),
         body="SELECT id, bucket AS dim, round(x, 5) AS x FROM h",

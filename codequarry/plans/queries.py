@@ -14,7 +14,7 @@ from codequarry.operators import (
     blocks, embedding, extraction, generation, graph, names, relations, rendering, search, sentences, syntax, tfidf,
     topics,
 )
-from codequarry.sources import corpus, documents, files as file_source, sinks, storage, versions
+from codequarry.sources import corpus, documents, files as file_source, folders, sinks, storage, versions
 from codequarry.streaming.index import follow_files
 from codequarry.streaming.search import stream_search
 
@@ -593,6 +593,31 @@ def incremental_index(spark, folder):
     return file_source.changed_files(old.unionByName(gone), new)
 
 
+def _foldered(spark, folder):
+    """The documents as files of folders, now and before: toxic ones were other, unlabelled ones are new, pages are gone."""
+    docs = documents.read_table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    labels = documents.read_table(spark, folder, "labels").select("doc_id", "toxic")
+    pages = documents.read_table(spark, folder, "pages")
+    path = F.concat_ws("/", F.lit("docs"), "source", "lang", F.col("doc_id").cast("string")).alias("path")
+    new = docs.select(path, F.md5("text").alias("content_md5"))
+    was = F.when(F.col("toxic") == 1, F.concat("text", F.lit(" "))).otherwise(F.col("text"))
+    old = docs.join(labels, "doc_id").select(path, F.md5(was).alias("content_md5"))
+    gone = pages.select(F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("path"), F.md5("html").alias("content_md5"))
+    return old.unionByName(gone), new
+
+
+def folder_digests(spark, folder):
+    return folders.folder_tree(_foldered(spark, folder)[1]).filter("NOT is_file").select("level", "path", "n_files", "digest")
+
+
+def changed_folders(spark, folder):
+    """What differs between two stored trees, found from the root."""
+    roots = [storage.new_folder(spark, "tree") for _ in range(2)]
+    for files, root in zip(_foldered(spark, folder), roots):
+        folders.store_tree(folders.folder_tree(files), root)
+    return folders.compare_trees(spark, *roots)
+
+
 def apply_changes(spark, folder):
     """An index that goes through changed, added, removed and restored files, and a compaction."""
     root, now = storage.new_folder(spark, "versions"), storage.written(_code(spark, folder), "files")
@@ -724,6 +749,8 @@ QUERIES: dict[str, Query] = {
     "sequence_diagram": sequence_diagram,
     "stream_search": run_stream_search,
     "incremental_index": incremental_index,
+    "folder_digests": folder_digests,
+    "changed_folders": changed_folders,
     "apply_changes": apply_changes,
     "stream_index": stream_index,
     "hash_embed": hash_embed,
