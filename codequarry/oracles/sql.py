@@ -144,6 +144,85 @@ def corpus_kmeans(k: int = 3, steps: int = 5) -> list[str]:
     return out
 
 
+def _uniform(*before: object) -> str:
+    parts = " || ':' || ".join([*map(str, before), "doc_id", "sent_id"])
+    return f"((('0x' || substr(md5({parts}), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)"
+
+
+def seeded_kmeans(k: int = 3, steps: int = 5, starts: int = 2, rounds: int = 2, oversample: int = 2) -> list[str]:
+    """Several starts at once: ``l<steps>(start, doc_id, sent_id, c, d)`` and ``best(start)``."""
+    nano = "greatest(0, CAST(round((2 - 2 * coalesce(dot, 0)) * 1e9::DOUBLE) AS BIGINT))"
+    out = corpus_kmeans(k, 0)[:7]
+    out.append(f"""q0 AS MATERIALIZED (SELECT r, 0 AS t, doc_id, sent_id FROM s, range(1, {starts + 1}) x(r)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY md5(r || ':0:' || doc_id || ':' || sent_id), doc_id, sent_id) = 1)""")
+    for t in range(rounds + 1):
+        out.append(f"""near{t} AS MATERIALIZED (SELECT q.r, s.doc_id, s.sent_id, q.t, q.doc_id AS qd, q.sent_id AS qs, {nano} AS d
+  FROM s CROSS JOIN q{t} q LEFT JOIN (
+    SELECT q.r, q.doc_id AS qd, q.sent_id AS qs, b.doc_id, b.sent_id, sum(a.w * b.w) AS dot
+    FROM q{t} q JOIN w a USING (doc_id, sent_id) JOIN w b ON b.term = a.term GROUP BY ALL) x
+  ON x.r = q.r AND x.qd = q.doc_id AND x.qs = q.sent_id AND x.doc_id = s.doc_id AND x.sent_id = s.sent_id
+  QUALIFY row_number() OVER (PARTITION BY q.r, s.doc_id, s.sent_id ORDER BY {nano}, q.t, q.doc_id, q.sent_id) = 1)""")
+        if t < rounds:
+            out.append(f"""q{t + 1} AS MATERIALIZED (FROM q{t} UNION ALL SELECT r, {t + 1}, doc_id, sent_id FROM near{t}
+  JOIN (SELECT r, sum(d)::DOUBLE AS phi FROM near{t} GROUP BY r) USING (r) WHERE {_uniform("r", f"'{t + 1}'")} * phi < {oversample * k} * d)""")
+    out.append(f"""cand AS MATERIALIZED (SELECT q.r, q.t, q.doc_id, q.sent_id, coalesce(held, 0) AS held,
+    row_number() OVER (PARTITION BY q.r ORDER BY q.t, q.doc_id, q.sent_id) AS n
+  FROM q{rounds} q LEFT JOIN (SELECT r, qd, qs, count(*) AS held FROM near{rounds} GROUP BY ALL) m ON m.r = q.r AND qd = q.doc_id AND qs = q.sent_id)""")
+    out.append(f"""apart AS MATERIALIZED (SELECT a.r, a.n AS a, b.n AS b, {nano} AS d FROM cand a JOIN cand b ON b.r = a.r LEFT JOIN (
+    SELECT c.r, c.n AS a, e.n AS b, sum(v.w * u.w) AS dot FROM cand c JOIN w v USING (doc_id, sent_id)
+    JOIN w u ON u.term = v.term JOIN cand e ON e.r = c.r AND e.doc_id = u.doc_id AND e.sent_id = u.sent_id GROUP BY ALL) x
+  ON x.r = a.r AND x.a = a.n AND x.b = b.n)""")
+    out.append("p0 AS (SELECT 0 AS r, 0 AS n, 0 AS c, CAST(0 AS BIGINT) AS doc_id, 0 AS sent_id WHERE false)")
+    for j in range(k):
+        mass = f"held * coalesce((SELECT min(d) FROM apart JOIN p{j} p ON p.r = apart.r AND p.n = apart.b WHERE apart.r = cand.r AND apart.a = cand.n), {0 if j else 1})"
+        out.append(f"""p{j + 1} AS MATERIALIZED (FROM p{j} UNION ALL SELECT r, n, {j}, doc_id, sent_id FROM (SELECT *, {mass} AS mass FROM cand) WHERE mass > 0
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY -ln({_uniform("r", f"'p{j}'")}) / mass, n) = 1)""")
+    out.append(f"""k0 AS MATERIALIZED (SELECT 0 AS start, c, term, w FROM st JOIN w USING (doc_id, sent_id)
+  UNION ALL SELECT r, c, term, w FROM p{k} JOIN w USING (doc_id, sent_id))""")
+    for j in range(steps + 1):
+        out.append(f"""l{j} AS MATERIALIZED (SELECT start, doc_id, sent_id, c, d FROM (
+  SELECT q.start, s.doc_id, s.sent_id, q.c, round(1 + q.q - 2 * coalesce(x.dot, 0), 9) AS d
+  FROM s CROSS JOIN (SELECT start, c, sum(w * w) AS q FROM k{j} GROUP BY ALL) q
+  LEFT JOIN (SELECT m.start, w.doc_id, w.sent_id, m.c, sum(w.w * m.w) AS dot FROM w JOIN k{j} m USING (term) GROUP BY ALL) x
+  ON x.start = q.start AND x.doc_id = s.doc_id AND x.sent_id = s.sent_id AND x.c = q.c)
+  QUALIFY row_number() OVER (PARTITION BY start, doc_id, sent_id ORDER BY d, c) = 1)""")
+        if j < steps:
+            out.append(f"""k{j + 1} AS MATERIALIZED (SELECT l.start, l.c, w.term, sum(w.w) / any_value(m.n) AS w FROM l{j} l
+  JOIN (SELECT start, c, count(*) AS n FROM l{j} GROUP BY ALL) m USING (start, c) JOIN w USING (doc_id, sent_id) GROUP BY ALL
+  UNION ALL SELECT o.start, o.c, o.term, o.w FROM k{j} o ANTI JOIN l{j} l ON l.start = o.start AND l.c = o.c)""")
+    out.append(f"""best AS (SELECT start FROM l{steps} GROUP BY start
+  ORDER BY round(sum(CAST(d AS DECIMAL(20, 9))), 4), start LIMIT 1)""")
+    return out
+
+
+def graph_rank(steps: int = 20, damping: float = 0.85, same: float = 0.5) -> list[str]:
+    """``gsumm(doc_id, summary)`` from the power iteration of each text's graph of sentences."""
+    out = [
+        "ws AS MATERIALIZED (SELECT w.*, sum(w) OVER (PARTITION BY doc_id, term) AS along FROM w)",
+        """g AS MATERIALIZED (SELECT s.doc_id, s.sent_id, s.n_sent AS n, round(coalesce(x.degree, 1) - 1, 9) AS degree FROM sents s
+  LEFT JOIN (SELECT doc_id, sent_id, sum(w * along) AS degree FROM ws GROUP BY ALL) x USING (doc_id, sent_id))""",
+        "r0 AS MATERIALIZED (SELECT doc_id, sent_id, 1 / n AS p FROM g)",
+    ]
+    for j in range(steps):
+        out.append(f"""x{j} AS MATERIALIZED (SELECT doc_id, sent_id, n, CASE WHEN degree > 0 THEN p / degree ELSE 0 END AS x,
+    coalesce(sum(p) FILTER (degree <= 0) OVER (PARTITION BY doc_id), 0) AS lost FROM g JOIN r{j} USING (doc_id, sent_id))""")
+        out.append(f"""r{j + 1} AS MATERIALIZED (SELECT doc_id, sent_id, {1 - damping}::DOUBLE / n + {damping}::DOUBLE * (coalesce(z, 0) - CASE WHEN z IS NULL THEN 0 ELSE x END + lost / n) AS p
+  FROM x{j} LEFT JOIN (SELECT w.doc_id, w.sent_id, sum(w.w * y.y) AS z FROM w JOIN (
+    SELECT doc_id, term, sum(w * x) AS y FROM w JOIN x{j} USING (doc_id, sent_id) GROUP BY ALL) y USING (doc_id, term) GROUP BY ALL) USING (doc_id, sent_id))""")
+    return out + [
+        f"""rk AS MATERIALIZED (SELECT doc_id, sent_id, row_number() OVER (PARTITION BY doc_id ORDER BY round(p * n, 9) DESC, sent_id) AS place
+  FROM r{steps} JOIN g USING (doc_id, sent_id))""",
+        f"""again AS (SELECT DISTINCT doc_id, sent_id FROM (SELECT b.doc_id, b.sent_id, a.sent_id AS other, round(sum(a.w * b.w), 9) AS dot
+  FROM w a JOIN w b USING (doc_id, term) WHERE a.sent_id <> b.sent_id GROUP BY ALL)
+  JOIN rk USING (doc_id, sent_id) JOIN rk o ON o.doc_id = rk.doc_id AND o.sent_id = other WHERE dot >= {same} AND o.place < rk.place)""",
+        """gt AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM (
+  SELECT doc_id, sent_id, sentence, place, len(regexp_extract_all(sentence, '[^ \\t\\n\\v\\f\\r]+')) AS words
+  FROM sents JOIN rk USING (doc_id, sent_id) ANTI JOIN again USING (doc_id, sent_id)))""",
+        """gsumm AS (SELECT doc_id, string_agg(sentence, ' ' ORDER BY sent_id) AS summary
+  FROM gt WHERE total <= 130 OR total - words < 30 GROUP BY doc_id)""",
+    ]
+
+
 def summary() -> list[str]:
     return [
         """ss AS (SELECT s.doc_id, s.sent_id, s.sentence, coalesce(x.score, 0) AS score,
@@ -691,6 +770,10 @@ FROM tscore GROUP BY ALL""",
         *corpus_kmeans(), body="SELECT doc_id, sent_id, CAST(c AS INTEGER) AS cluster FROM l5"
     )
 
+    out["seeded_topics"] = _with(
+        *seeded_kmeans(), body="SELECT doc_id, sent_id, CAST(c AS INTEGER) AS cluster, CAST(start AS INTEGER) AS start FROM l5 JOIN best USING (start)"
+    )
+
     # top-k
     out["topk_l2"] = _with(
         *vector_search(L2, "score", 5), body="SELECT query_id, rank, id, round(score, 5) AS score FROM hits"
@@ -762,6 +845,7 @@ FROM (SELECT doc_id, regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]+') AS words F
     out["class_diagram"] = over_corpus(*diagram_lines(), body="FROM lines")
     out["prompt_typed"] = prompt("typed")
     out["prompt_numbered"] = prompt("numbered")
+    out["graph_summary"] = _with(*weights(), *graph_rank(), body="SELECT doc_id, summary FROM gsumm")
     out["extractive_summary"] = _with(*weights(), *summary(), body="SELECT doc_id, summary FROM summ")
     out["extract_key_points"] = _with(
         *weights(), *kmeans(5), POINTS, body="SELECT doc_id, CAST(nth AS INTEGER) AS nth, point FROM pts"
@@ -818,4 +902,6 @@ WHERE (b.n_files, b.digest) IS DISTINCT FROM (n.n_files, n.digest)""")
         *doc_hits, *prompts("numbered"),
         body="SELECT query_id, 'Seen: ' || md5(prompt) AS response, CAST(NULL AS VARCHAR) AS error FROM prompts_numbered",
     )
+    out["answer_store"] = """SELECT doc_id AS query_id, 'Seen: ' || md5(concat('Summarise:', chr(10), text)) AS response, CAST(NULL AS VARCHAR) AS error,
+  md5(text) IN (SELECT md5(text) FROM documents SEMI JOIN labels USING (doc_id)) AS reused FROM documents"""
     return out

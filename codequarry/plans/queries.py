@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from codequarry.functions import text as text_fn
 from codequarry.functions import vectors as vector_fn
 from codequarry.operators import (
-    blocks, embedding, extraction, generation, graph, names, relations, rendering, search, sentences, syntax, tfidf,
-    topics,
+    blocks, embedding, extraction, generation, graph, names, ranking, relations, rendering, search, seeding, sentences,
+    syntax, tfidf, topics,
 )
 from codequarry.sources import corpus, documents, files as file_source, folders, sinks, storage, versions
 from codequarry.streaming.index import follow_files
@@ -371,6 +371,10 @@ def kmeans_corpus(spark, folder):
     return topics.corpus_topics(_documents(spark, folder))
 
 
+def seeded_topics(spark, folder):
+    return seeding.seeded_topics(_documents(spark, folder))
+
+
 # ---- top-k -----------------------------------------------------------------------------
 
 def topk_l2(spark, folder):
@@ -516,6 +520,10 @@ def extractive_summary(spark, folder):
     return topics.extractive_summary(_documents(spark, folder))
 
 
+def graph_summary(spark, folder):
+    return ranking.graph_summary(_documents(spark, folder))
+
+
 def _weights(spark, folder):
     """Sentence weights that topics and summary share: split and counted once, written."""
     return storage.written(tfidf.sentence_weights(_documents(spark, folder)), "sentence-weights")
@@ -670,6 +678,20 @@ def batch_generate(spark, folder):
     return generation.generate(_prompts(spark, folder, "numbered"), _digest_of)
 
 
+def answer_store(spark, folder):
+    """All documents after the labelled ones: answers to texts seen before come from the store."""
+    docs = _documents(spark, folder)
+    labelled = docs.join(documents.read_table(spark, folder, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    store = storage.new_folder(spark, "answers")
+
+    def ask(texts: DataFrame) -> DataFrame:
+        prompt = F.concat(F.lit("Summarise:\n"), F.col("text")).alias("prompt")
+        return generation.answer_once(texts.select(F.col("doc_id").alias("query_id"), prompt), _digest_of, store)
+
+    ask(labelled)
+    return ask(docs)
+
+
 QUERIES: dict[str, Query] = {
     "scan_files": scan_files,
     "quarantine_bad_files": quarantine_bad_files,
@@ -717,6 +739,7 @@ QUERIES: dict[str, Query] = {
     "tfidf": tfidf_weights,
     "kmeans_topics": kmeans_topics,
     "kmeans_corpus": kmeans_corpus,
+    "seeded_topics": seeded_topics,
     "topk_l2": topk_l2,
     "top1_cosine": top1_cosine,
     "cluster_medoid": cluster_medoid,
@@ -742,6 +765,7 @@ QUERIES: dict[str, Query] = {
     "prompt_typed": partial(_prompts, style="typed"),
     "prompt_numbered": partial(_prompts, style="numbered"),
     "extractive_summary": extractive_summary,
+    "graph_summary": graph_summary,
     "extract_key_points": extract_key_points,
     "topics_and_key_sentences": topics_and_key_sentences,
     "mindmap": mindmap,
@@ -755,4 +779,5 @@ QUERIES: dict[str, Query] = {
     "stream_index": stream_index,
     "hash_embed": hash_embed,
     "batch_generate": batch_generate,
+    "answer_store": answer_store,
 }
