@@ -59,10 +59,13 @@ def mean_pool(vectors: DataFrame) -> DataFrame:
     return pooled.select("id", vector_to_array("mean").alias("embedding"))
 
 
+def embed_windows(windows: DataFrame, dim: int = 256, model: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``id, embedding``: the mean over the windows ``id, part, text`` of each text, however they were cut."""
+    vectors = embed(windows.select(F.struct("id", "part").alias("id"), "text"), dim, model)
+    return mean_pool(vectors.select(F.col("id.id").alias("id"), "embedding"))
+
+
 def embed_long(texts: DataFrame, window: int = 512, dim: int = 256) -> DataFrame:
     """Whole texts through an encoder that reads ``window`` words at a time, mean-pooled."""
-    parts = texts.select(
-        "id", F.posexplode(token_windows(F.col("text"), window)).alias("part", "text")
-    ).select(F.struct("id", "part").alias("id"), "text")
-    vectors = embed(parts, dim).select(F.col("id.id").alias("id"), "embedding")
-    return mean_pool(vectors)
+    parts = texts.select("id", F.posexplode(token_windows(F.col("text"), window)).alias("part", "text"))
+    return embed_windows(parts, dim)

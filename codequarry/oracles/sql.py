@@ -898,6 +898,12 @@ WHERE (b.n_files, b.digest) IS DISTINCT FROM (n.n_files, n.digest)""")
         hashed("h", "SELECT doc_id AS id, text FROM documents"),
         body="SELECT id, bucket AS dim, round(x, 5) AS x FROM h",
     )
+    out["embed_long"] = _with(
+        f"win AS MATERIALIZED (SELECT {{'doc': doc_id, 'part': part}} AS id, text FROM ({out['truncate_tokens']}))",
+        hashed("h", "FROM win"),
+        body="""SELECT id.doc AS id, bucket AS dim, round(sum(x) / any_value(n), 5) AS x
+FROM h JOIN (SELECT id.doc AS doc, count(*) AS n FROM win GROUP BY ALL) ON doc = id.doc GROUP BY ALL""",
+    )
     out["batch_generate"] = _with(
         *doc_hits, *prompts("numbered"),
         body="SELECT query_id, 'Seen: ' || md5(prompt) AS response, CAST(NULL AS VARCHAR) AS error FROM prompts_numbered",

@@ -12,7 +12,7 @@ from codequarry.functions import text as text_fn
 from codequarry.functions import vectors as vector_fn
 from codequarry.operators import (
     blocks, embedding, extraction, generation, graph, names, ranking, relations, rendering, search, seeding, sentences,
-    syntax, tfidf, topics,
+    subwords, syntax, tfidf, topics,
 )
 from codequarry.sources import corpus, documents, files as file_source, folders, sinks, storage, versions
 from codequarry.streaming.index import follow_files
@@ -667,6 +667,18 @@ def hash_embed(spark, folder):
     return _rounded(cells.filter(F.col("x") != 0), "x")
 
 
+def embed_long(spark, folder):
+    """Whole documents, 512 words at a time."""
+    cells = embedding.embed_long(_texts(spark, folder)).select("id", F.posexplode("embedding").alias("dim", "x"))
+    return _rounded(cells.filter(F.col("x") != 0), "x")
+
+
+def subword_windows(spark, folder):
+    """What an encoder of 512 tokens reads of each document, with 64 tokens of the window before."""
+    windows = subwords.subword_windows(_texts(spark, folder), "byte_bpe_50k.json", 512, 64)
+    return windows.select("id", "part", "n_tokens", "begin", "stop", F.md5("text").alias("text_md5"))
+
+
 def _digest_of(prompts: list[str]) -> list[str]:
     """A stand-in model: the digest of the whole prompt."""
     import hashlib
@@ -778,6 +790,8 @@ QUERIES: dict[str, Query] = {
     "apply_changes": apply_changes,
     "stream_index": stream_index,
     "hash_embed": hash_embed,
+    "embed_long": embed_long,
+    "subword_windows": subword_windows,
     "batch_generate": batch_generate,
     "answer_store": answer_store,
 }
