@@ -243,3 +243,23 @@ def test_diagrams_of_the_default_package_and_of_the_whole(files):
     assert ("", "    class A {") in lines and ("p", "    class B {") in lines and ("", "        int x") in lines
     whole = rows(class_diagram(*parts, by_package=False), "package", "line")
     assert len(whole) == len(lines) - 3 and {p for p, _ in whole} == {""}
+
+
+def test_declarations_sort_nothing_and_keep_unbalanced_files(spark, files):
+    """Braces are matched inside the file's row: no sort of its pieces, whatever their number."""
+    plan = declarations(files(A="class A { }"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+    f = files(A="} int q; } class A { int x; void f() { A.b(); }", B="class B { class C { } } { D.e(); } ;")
+    got = declarations(f).filter("kind IS NOT NULL").orderBy("path", "start")
+    assert [tuple(r) for r in got.filter("path LIKE '%A.java'").select("kind", "name", "parent_name", "depth").collect()] == [
+        ("class", "A", None, -1), ("field", "x", "A", 0), ("method", "f", "A", 0)
+    ]
+    assert [tuple(r) for r in got.filter("path LIKE '%B.java'").select("kind", "name", "parent_name").collect()] == [
+        ("class", "B", None), ("class", "C", "B"), ("other", None, None)
+    ]
+
+
+def test_files_of_one_path_are_read_piece_by_piece(spark):
+    twice = spark.createDataFrame([("A.java", "class A { int x; }")] * 2, "path string, content string")
+    got = declarations(twice).select("depth", "name", F.coalesce("parent_name", F.lit("")))
+    assert rows(got, "*") == [(0, "A", ""), (1, "A", "A"), (2, "x", "A"), (2, "x", "A")]
