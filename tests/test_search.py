@@ -223,3 +223,14 @@ def test_prompts_and_generation(spark):
     assert short == [(1, "ok", None), (2, "bad", None), (3, "fine", None)]
     none = generation.generate(p, lambda prompts: []).collect()
     assert {(r.response, r.error) for r in none} == {(None, "ValueError: 0 answers to 1 prompts")}
+
+
+def test_stream_search_reads_tables_that_are_folders(spark, tmp_path):
+    from codequarry.plans.queries import QUERIES
+
+    docs = [(1, "red apples grow", "en"), (2, "green pears fall", "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    turns = [(1, 1, "user", "apples"), (1, 2, "user", "pears")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(2).write.parquet(str(tmp_path / "conversations.parquet"))
+    found = QUERIES["stream_search"](spark, str(tmp_path)).select("query_id", "id").collect()
+    assert sorted(map(tuple, found)) == [(1_000_001, 1), (1_000_002, 2)]
