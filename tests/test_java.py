@@ -252,7 +252,7 @@ def test_declarations_sort_nothing_and_keep_unbalanced_files(spark, files):
     f = files(A="} int q; } class A { int x; void f() { A.b(); }", B="class B { class C { } } { D.e(); } ;")
     got = declarations(f).filter("kind IS NOT NULL").orderBy("path", "start")
     assert [tuple(r) for r in got.filter("path LIKE '%A.java'").select("kind", "name", "parent_name", "depth").collect()] == [
-        ("class", "A", None, -1), ("field", "x", "A", 0), ("method", "f", "A", 0)
+        ("class", "A", None, -2), ("field", "x", "A", -1), ("method", "f", "A", -1)
     ]
     assert [tuple(r) for r in got.filter("path LIKE '%B.java'").select("kind", "name", "parent_name").collect()] == [
         ("class", "B", None), ("class", "C", "B"), ("other", None, None)
