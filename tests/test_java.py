@@ -269,6 +269,8 @@ def test_a_block_is_handed_on_once_for_all_that_it_holds():
     """Its header came with every piece in it before, and was read once for each."""
     import pyarrow as pa
 
-    found = blocks._pieces(pa.array([["class A { int b; int c; void f() { d.e(); } }"], [""], []])).to_pylist()
+    from codequarry.operators.blocks import _pieces
+
+    found = _pieces(pa.array([["class A { int b; int c; void f() { d.e(); } }"], [""], []])).to_pylist()
     listed = [[(block["parent_text"], [piece["text"].strip() for piece in block["held"]]) for block in file] for file in found]
     assert listed == [[(None, ["class A"]), ("class A ", ["int b", "int c", "void f()"]), ("void f() ", ["d.e()"])], [], []]
