@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -27,25 +29,34 @@ def embed(texts: DataFrame, dim: int = 256, model: Callable[[Column], Column] |
     """
     if model is not None:
         return texts.select("id", model(F.col("text")).alias("embedding"))
-    counted = (
-        place(texts.select("id", "text"), "id")
-        .select("id", F.explode_outer(word_array(F.col("text"))).alias("term"))
-        .groupBy("id", word_bucket(F.col("term"), dim).alias("bucket"))
-        .agg(F.count("*").alias("n"))
-    )
-    cell = F.when(F.col("bucket").isNotNull(), F.struct("bucket", F.col("n").cast("double").alias("n")))
-    cells = counted.groupBy("id").agg(
-        F.map_from_entries(F.collect_list(cell)).alias("cells"),
-        F.sqrt(F.sum(F.when(F.col("bucket").isNotNull(), F.col("n") * F.col("n")).otherwise(0))).alias("norm"),
-    )
-    scale = F.when(F.col("norm") > 0, F.col("norm")).otherwise(F.lit(1.0))
-    return cells.select(
-        "id",
-        F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(0.0)) / scale,
-        ).alias("embedding"),
-    )
+    return place(texts.select("id", "text"), "id").groupBy("id").agg(_counted(F.collect_list("text"), dim).alias("embedding"))
+
+
+def _counted(texts: Column, dim: int) -> Column:
+    """The unit vector of word counts of a list of texts read as one."""
+
+    @F.arrow_udf("array<double>")
+    def scaled(buckets: pa.Array) -> pa.Array:
+        n, lengths = len(buckets), buckets.value_lengths().to_numpy(zero_copy_only=False).astype("int64")
+        cells = np.repeat(np.arange(n), lengths) * dim + buckets.flatten().to_numpy(zero_copy_only=False)
+        counts = np.bincount(cells, minlength=n * dim).astype("float64").reshape(n, dim)
+        norm = np.sqrt((counts * counts).sum(axis=1))
+        vectors = counts / np.where(norm > 0, norm, 1.0)[:, None]
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(vectors.reshape(-1)))
+
+    words = F.flatten(F.transform(texts, lambda t: word_array(t)))
+    return scaled(F.transform(words, lambda w: word_bucket(w, dim)))
+
+
+def embed_rows(rows: DataFrame, keys: Sequence[str], text: str, dim: int = 256) -> DataFrame:
+    """The rows with the ``embedding`` of their ``text``; the texts of rows of one key are read as one.
+
+    Rows placed by some of the keys stay where they are.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    held = rows.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("held"))
+    vectors = held.withColumn("embedding", _counted(F.col(f"held.{text}"), dim))
+    return vectors.select(*keys, "embedding", F.inline("held")).select(*rows.columns, "embedding")
 
 
 def mean_pool(vectors: DataFrame) -> DataFrame:

@@ -184,6 +184,20 @@ def test_embeddings(spark):
     assert {r.id: r.embedding for r in embedding.embed(df, model=lengths).collect()}[1] == [11.0]
 
 
+def test_embeddings_count_words_inside_the_row(spark):
+    """Words were rows before, and a join brought the vectors back to the texts."""
+    df = spark.createDataFrame([(1, "a.java", "one two"), (1, "a.java", "two"), (2, None, None)], "id long, path string, text string")
+    plan = embedding.embed(df, 16)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan
+    want = {r.id: r.embedding for r in embedding.embed(df, 16).collect()}
+    assert len(want) == 2 and max(want[1]) == 2 / 5 ** 0.5
+    rows = embedding.embed_rows(df, ["id"], "text", 16)
+    assert rows.columns == ["id", "path", "text", "embedding"] and "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r.id, r.path, r.text, r.embedding) for r in rows.collect()]
+    key = lambda r: (r[0], r[2] or "")
+    assert sorted(got, key=key) == sorted([(r.id, r.path, r.text, want[r.id]) for r in df.collect()], key=key)
+
+
 def test_windows_cover_the_text_and_pool(spark):
     df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(1030))), (2, "")], "id long, text string")
     parts = df.select("id", F.explode(T.token_windows(F.col("text"))).alias("p")).collect()
