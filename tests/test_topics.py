@@ -105,3 +105,17 @@ def test_corpus_topics(docs):
     assert found[0] == found[1]
     assert {c for _, _, c in found[0]} == {0, 1} and {d for d, _, _ in found[0]} == {1, 2, 3, 6}
     assert topics.corpus_topics(docs.limit(0), 2, STOP).count() == 0
+
+
+def test_products_of_common_and_of_rare_words_are_the_same(docs, monkeypatch):
+    """Every product shuffled all cells before; now only those of words beyond ``COMMON``."""
+    found = []
+    for common in (1000, 2, 0):
+        monkeypatch.setattr(topics, "COMMON", common)
+        cells = topics.Cells(topics.corpus_cells(docs, STOP))
+        assert cells.all_common == (common == 1000)
+        centres = cells.table.groupBy("term", "df").agg(F.max("w").alias("a"), F.min("w").alias("b"))
+        found.append(sorted((r.doc_id, r.sent_id, round(r.a, 9), round(r.b, 9)) for r in cells.dots(centres, ["a", "b"]).collect()))
+        cells.close()
+        assert not cells.table.is_cached
+    assert found[0] == found[1] == found[2] and len(found[0]) > 3
