@@ -44,7 +44,7 @@ def _counted(texts: Column, dim: int) -> Column:
         vectors = counts / np.where(norm > 0, norm, 1.0)[:, None]
         return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(vectors.reshape(-1)))
 
-    words = F.flatten(F.transform(texts, lambda t: word_array(t)))
+    words = F.flatten(F.transform(F.array_compact(texts), lambda t: word_array(t)))
     return scaled(F.transform(words, lambda w: word_bucket(w, dim)))
 
 
