@@ -280,3 +280,51 @@ def test_both_names_of_a_call_come_from_one_search(files):
     d = declarations(files(A="class A { void f() { a.b(c.d.e(), x); } }"))
     assert d._jdf.queryExecution().optimizedPlan().toString().count(java.CALL) == 1
     assert [[tuple(c) for c in r.calls] for r in d.filter("calls IS NOT NULL").collect()] == [[("a", "b"), ("d", "e")]]
+
+
+def test_comments_and_literals_are_blanked_alike_in_both_engines(spark):
+    import random
+
+    from codequarry.operators.blocks import _shown
+
+    draw = random.Random(5)
+    texts = ["".join(draw.choice(PARTS) for _ in range(draw.randrange(30))) for _ in range(2000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.s for r in df.select(java.blank_literals(F.col("t")).alias("s")).collect()] == [_shown(t) for t in texts]
+
+
+def test_pieces_know_what_they_have():
+    import pyarrow as pa
+
+    from codequarry.operators.blocks import ANGLED, BLANKS, DOTTED, EQUALS, ROUND, _pieces
+
+    found = _pieces(pa.array([["{ a; b<c> d; é = e.f();g  h; }"], ["i\nj;"]])).to_pylist()
+    pieces = {piece["text"]: piece["has"] for file in found for block in file for piece in block["held"]}
+    assert pieces == {"": 0, "a": 0, "b<c> d": ANGLED, "é = e.f()": EQUALS | DOTTED | ROUND, "g  h": BLANKS, "i\nj": BLANKS}
+
+
+def test_only_wanted_kinds_are_searched(files):
+    """All patterns were searched whatever the next step kept."""
+    f = files(
+        A="package p; import q.R; @X(y = 1) class A<T> { R r = s.t(); int[] u; A(int v) { } void w() { x.y(); Z z = a; } interface I { int g(); } }",
+        B="} import c.D; class E { enum F { G; H h; } record J(int k) { } void l() { new M() { int n; void o() { } }; } }",
+    )
+    every, shown = declarations(f), lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    for kinds in (["class", "interface"], ["class", "method"], ["field"], ["package", "import"], ["record", "enum", "import", "field"]):
+        want = every.filter(F.col("kind").isin(kinds)).withColumn("calls", F.lit(None))
+        key = lambda r: (r.path, r.start)
+        assert sorted(declarations(f, kinds).collect(), key=key) == sorted(want.collect(), key=key)
+    types = shown(declarations(f, ["class"]))
+    assert java.CALL not in types and java.METHOD_HEADER not in types and java.FIELD not in types
+    assert java.CALL not in shown(declarations(f, ["field"])) and java.METHOD_HEADER not in shown(declarations(f, ["field"]))
+
+
+def test_snippets_carry_their_text_along(spark, files):
+    """The files were read again and joined by path before."""
+    f = files(A="class A { void f() { } /* é */ void g() { } }", B="class B { }")
+    assert "Join" not in X.snippets(f)._jdf.queryExecution().optimizedPlan().toString()
+    odd = f.union(f).union(spark.createDataFrame([("src/B.java", None), (None, "class N { }")], f.schema))
+    columns = ["path", "kind", "name", "start", "depth"]
+    shown = lambda df: sorted((*map(str, r), r.content or "") for r in df.select(*columns, "content").collect())
+    got = shown(X.snippets(odd))
+    assert got == shown(X.snippets(odd, declarations(odd))) and len(got) == 14
